@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, quality, substrings
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_substrings": substrings.op2_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
 }
 
