@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, substrings
+from . import decontaminate, ngram_join, quality, substrings
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_substrings": substrings.op2_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
 }
 
 ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op6_ngram_join": ngram_join.OP6_SQL,
 }
