@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, quality, substrings
+from . import decontaminate, mixing, ngram_join, quality, substrings
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_substrings": substrings.op2_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
