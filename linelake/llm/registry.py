@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, quality, substrings
+from . import decontaminate, mixing, ngram_join, quality, substrings, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_substrings": substrings.op2_substrings,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_topk": topk.op7_topk,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_ngram_join": ngram_join.OP6_SQL,
+    "op7_topk": topk.OP7_SQL,
 }
