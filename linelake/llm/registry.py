@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, quality, substrings, topk
+from . import chat, decontaminate, mixing, ngram_join, quality, substrings, topk, url_rules
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_substrings": substrings.op2_substrings,
+    "op3_url_rules": url_rules.op3_url_rules,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_chat": chat.op5_chat,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_topk": topk.op7_topk,
     "op9_mixing": mixing.op9_mixing,
@@ -15,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op5_chat": chat.OP5_SQL,
     "op6_ngram_join": ngram_join.OP6_SQL,
     "op7_topk": topk.OP7_SQL,
 }
