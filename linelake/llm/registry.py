@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, ngram_join, quality, substrings, topk, url_rules
+from . import chat, decontaminate, language, mixing, ngram_join, quality, substrings, topk, url_rules
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_topk": topk.op7_topk,
+    "op8_language": language.op8_language,
     "op9_mixing": mixing.op9_mixing,
 }
 
