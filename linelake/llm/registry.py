@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, ngram_join, quality, substrings, topk, url_rules
+from . import chat, decontaminate, language, mixing, ngram_join, quality, substrings, suffixes, topk, url_rules
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_topk": topk.op7_topk,
     "op8_language": language.op8_language,
     "op9_mixing": mixing.op9_mixing,
+    "op10_suffixes": suffixes.op10_suffixes,
 }
 
 ORACLES = {
