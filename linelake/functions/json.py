@@ -23,11 +23,13 @@ def strict(body: Column) -> tuple[Column, Column]:
     """(valid, value): whether all of ``body`` is one JSON value, and that value.
 
     Spark's parsers accept what follows a first value, so the text is parsed as the first of two elements of an array: anything else
-    after it moves or hides the second.
+    after it moves or hides the second. NaN and Infinity, which Spark's parser takes for numbers, are no JSON.
     """
     pair = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_END}"]')))
     ends = (F.try_variant_get(pair, "$[1]", "string") == _END) & F.try_variant_get(pair, "$[2]", "variant").isNull()
-    valid = F.coalesce(ends, F.lit(False))
+    outside = F.regexp_replace(body, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    words = F.when(F.contains(body, F.lit("NaN")) | F.contains(body, F.lit("Infinity")), F.regexp_like(outside, F.lit("NaN|Infinity"))).otherwise(F.lit(False))
+    valid = F.coalesce(ends & ~words, F.lit(False))
     return valid, F.when(valid, F.try_variant_get(pair, "$[0]", "variant"))
 
 

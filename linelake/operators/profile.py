@@ -67,11 +67,12 @@ def top_values(counts: DataFrame, found: DataFrame | None = None, top: int = TOP
 def element_stats(rows: DataFrame, path: str, top: int = TOP) -> DataFrame:
     """One row for the array at ``path``: arrays, elements, distinct scalars, elements for each array, and the most frequent scalars and null."""
     found = elements(rows, path).withColumn("path", F.lit(path))
-    n_arrays = rows.where(F.startswith(F.schema_of_variant(F.try_variant_get("v", "$." + path, "variant")), F.lit("ARRAY"))).agg(F.count(F.lit(1)).alias("arrays"))
-    totals = found.agg(F.count(F.lit(1)).alias("count"), F.count_distinct(atom_key(F.col("atom"))).alias("distinct"))
-    best = element_top(rows, path, top).agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
+    name = F.lit(path).alias("path")
+    n_arrays = rows.where(F.startswith(F.schema_of_variant(F.try_variant_get("v", "$." + path, "variant")), F.lit("ARRAY"))).groupBy(name).agg(F.count(F.lit(1)).alias("arrays"))
+    totals = found.groupBy("path").agg(F.count(F.lit(1)).alias("count"), F.count_distinct(atom_key(F.col("atom"))).alias("distinct"))
+    best = element_top(rows, path, top).groupBy(name).agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
     average = F.when(F.col("arrays") > 0, F.round(F.col("count") / F.col("arrays"), 2)).otherwise(0.0)
-    return n_arrays.crossJoin(totals).crossJoin(best).select(F.lit(path).alias("path"), "arrays", "count", "distinct", average.alias("avg_per_row"), "top")  # one row each
+    return n_arrays.join(totals, "path", "left").join(best, "path", "left").select("path", "arrays", "count", "distinct", average.alias("avg_per_row"), "top")
 
 
 def element_top(rows: DataFrame, path: str, top: int = TOP) -> DataFrame:
