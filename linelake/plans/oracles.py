@@ -88,7 +88,7 @@ SELECT user_id::VARCHAR AS token, min(event_id) AS event_id, min_by(event_type,
 WHERE event_id % 10 >= 5 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 10 < 5) GROUP BY user_id""",
     "directory_count_total": "SELECT coalesce(name, 'TOTAL') AS name, count(*) AS n_rows FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name FROM {t}" for t in ("customer", "orders", "part", "supplier")) + ") GROUP BY ROLLUP (name)",
     "valid_vs_invalid_lines": """
-WITH b AS (SELECT event_id % 8 AS kind, CASE event_id % 8 WHEN 0 THEN props || ' x' WHEN 1 THEN props || props WHEN 2 THEN 'NaN' WHEN 3 THEN 'null' WHEN 4 THEN '{"a":01}' ELSE props END AS body FROM events)
+WITH b AS (SELECT event_id % 8 AS kind, CASE event_id % 8 WHEN 0 THEN props || ' x' WHEN 1 THEN props || props WHEN 2 THEN '[1,2] ,' WHEN 3 THEN 'null' WHEN 4 THEN '{"a":01}' ELSE props END AS body FROM events)
 SELECT kind, count(*) FILTER (json_valid(body)) AS n_valid, count(*) FILTER (NOT json_valid(body)) AS n_invalid FROM b GROUP BY kind""",
     "reader_rows": "SELECT event_id % 3 AS kind, count(*) AS n FROM events WHERE event_id % 3 > 0 GROUP BY 1",
     "hint_url_pages": f"""

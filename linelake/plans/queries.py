@@ -231,7 +231,7 @@ def directory_count_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def valid_vs_invalid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, b = F.col("event_id") % 8, F.col("props")
-    broken = F.when(k == 0, F.concat(b, F.lit(" x"))).when(k == 1, F.concat(b, b)).when(k == 2, F.lit("NaN")).when(k == 3, F.lit("null")).when(k == 4, F.lit('{"a":01}'))
+    broken = F.when(k == 0, F.concat(b, F.lit(" x"))).when(k == 1, F.concat(b, b)).when(k == 2, F.lit("[1,2] ,")).when(k == 3, F.lit("null")).when(k == 4, F.lit('{"a":01}'))
     rows = parsed(table(spark, sf_dir, "events").select(k.alias("kind"), broken.otherwise(b).alias("body")))
     return rows.groupBy("kind").agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"))
 
