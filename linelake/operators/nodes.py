@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,24 @@ def nodes(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
+def nesting(rows: DataFrame, most: int = DEPTH) -> int:
+    """How many levels of objects ``rows`` (v) have, at most ``most``: from one merged schema. Where fields are objects here and scalars
+    there the schema doesn't say, and the answer is ``most``."""
+    with json_settings(rows.sparkSession):
+        schema = rows.agg(F.schema_of_variant_agg("v").alias("s")).first()["s"] or ""
+    deepest, open_kinds = 1, []
+    for kind in re.findall(r"\w*<|>|\bVARIANT\b", re.sub("`[^`]*`", "", schema)):
+        if kind == ">":
+            open_kinds.pop()
+        elif "ARRAY<" not in open_kinds and kind == "VARIANT":
+            return most
+        elif kind != "VARIANT":
+            open_kinds.append(kind)
+            if "ARRAY<" not in open_kinds:
+                deepest = max(deepest, len(open_kinds))
+    return min(deepest, most)
+
+
 def elements(rows: DataFrame, path: str) -> DataFrame:
     """(json_type, atom) of the elements of the array at ``path``, of rows where it is one."""
     spark = rows.sparkSession

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from linelake.functions import hints
 from linelake.functions.json import atom_key, atom_text
 
-from .nodes import DEPTH, elements, nodes
+from .nodes import DEPTH, elements, nesting, nodes
 
 TOP = 20
 FIELDS = 2000
@@ -123,6 +123,7 @@ def field_stats(rows: DataFrame, top: int = TOP, depth: int = DEPTH) -> DataFram
 def profile(rows: DataFrame, top: int = TOP, depth: int = DEPTH, most: int = FIELDS) -> Profile:
     """Statistics of the ``most`` most present paths of ``rows`` (body, valid, v)."""
     seen = rows.agg(F.count_if("valid").alias("rows"), F.count_if(~F.col("valid")).alias("invalid")).first()
-    stats = field_stats(rows.where("valid"), top, depth).persist()
+    good = rows.where("valid")
+    stats = field_stats(good, top, nesting(good, depth)).persist()
     n = stats.count()
     return Profile(seen["rows"], seen["invalid"], max(0, n - most), stats.orderBy(F.col("present").desc(), "path").limit(most))

@@ -12,7 +12,7 @@ from linelake.lake import Lake
 from linelake.operators import index as ix
 from linelake.operators import legacy
 from linelake.operators import profile as pr
-from linelake.operators.nodes import nodes
+from linelake.operators.nodes import nesting, nodes
 from linelake.sources.lines import decoded, log_of, parsed
 from linelake.sources.tail import TailSource
 from linelake.streaming.incremental import IncrementalProfile
@@ -69,7 +69,7 @@ def test_strict(spark):
 
 def test_mixed(spark):
     rows = bodies(spark, *('{"v":%s}' % x for x in ("1", "1.0", "true", '"1"', "null", "[1]", '{"x":2}')), "{}")
-    s = {r.path: r for r in pr.field_stats(rows).collect()}
+    s = {r.path: r for r in pr.field_stats(rows, depth=2).collect()}
     v = s["v"]
     assert (v.present, v.non_null, v.distinct_n, v.min_v, v.max_v, v.is_array) == (6, 5, 2, "1", "1", 1)
     assert v.json_types == {"integer": 1, "real": 1, "true": 1, "text": 1, "null": 1, "array": 1}
@@ -79,7 +79,8 @@ def test_mixed(spark):
 
 def test_nested(spark):
     rows = bodies(spark, '{"id":1,"a":{"b":{"c":[1,2]},"_v":true,"x y":"q"},"e":{},"n":null,"f":1.0,"t":["p",null,{"z":1}]}')
-    assert {r.path for r in pr.summary(nodes(rows)).collect()} == {"id", "a.b.c", "a._v", 'a."x y"', "n", "f", "t"}
+    assert nesting(rows) == 3 and nesting(bodies(spark, '{"a":{"b":[{"c":{"d":1}}]}}')) == 2 and nesting(bodies(spark, '{"a":1}', '{"a":{"b":1}}')) == 6
+    assert {r.path for r in pr.summary(nodes(rows, 3)).collect()} == {"id", "a.b.c", "a._v", 'a."x y"', "n", "f", "t"}
     t = pr.element_stats(rows, "t").first()
     assert (t["count"], t.distinct, t.avg_per_row) == (3, 1, 3.0) and [(x.value, x.n) for x in t.top] == [(None, 1), ("p", 1)]
     deep = bodies(spark, '{"a":' * 8 + "1" + "}" * 8, '{"A":1,"a":2}', '{"b.c":1}', '{"k[0]":1}')
@@ -90,7 +91,7 @@ def test_nested(spark):
 def test_long_values(spark):
     long = "x" * 500
     rows = bodies(spark, json.dumps({"t": long}), json.dumps({"t": long}), json.dumps({"t": "y" * 300}), json.dumps({"t": "z"}))
-    r = pr.field_stats(rows).first()
+    r = pr.field_stats(rows, depth=1).first()
     assert r.distinct_n == 3 and r.max_v == "z" and r.len_max == 500 and [(t.value, t["count"]) for t in r.top_values][0] == (long, 2)
 
 
@@ -166,13 +167,13 @@ def test_tail(spark, tmp_path):
 def test_streaming_adds_up(spark, tmp_path):
     data = tmp_path / "in"
     data.mkdir()
-    p = IncrementalProfile(spark, f"file://{data}", f"file://{tmp_path}/out")
+    p = IncrementalProfile(spark, f"file://{data}", f"file://{tmp_path}/out", depth=1)
     (data / "1.jsonl").write_text('{"a":1,"b":"x"}\n{"a":2,"b":"x"}\n')
     p.run().awaitTermination()
     (data / "2.jsonl").write_text('{"a":2,"b":"y"}\nbad\n')
     p.run().awaitTermination()
     p.run().awaitTermination()
-    whole = pr.value_counts(nodes(bodies(spark, '{"a":1,"b":"x"}', '{"a":2,"b":"x"}', '{"a":2,"b":"y"}')))
+    whole = pr.value_counts(nodes(bodies(spark, '{"a":1,"b":"x"}', '{"a":2,"b":"x"}', '{"a":2,"b":"y"}'), 1))
     key = lambda df: sorted((r.path, r.key, r.n) for r in df.collect())
     assert key(p.counts()) == key(whole)
 
@@ -187,7 +188,7 @@ def test_legacy(spark):
     words = found.where("json_type = 'text'").select("path", F.lit(1).alias("at"), F.col("atom.txt").alias("s"))
     guess = {r.path: r for r in legacy.sampled_hints(words).collect()}["w"]
     assert guess.natural_language_like and guess.locale == "en"
-    doc = legacy.document("x", 8, [r.asDict(recursive=True) for r in pr.field_stats(rows).collect()])
+    doc = legacy.document("x", 8, [r.asDict(recursive=True) for r in pr.field_stats(rows, depth=1).collect()])
     assert doc["fields"]["v"]["nulls"] == 1 and doc["fields"]["w"]["storageHint"] == "string" and legacy.short("x" * 50) == "x" * 39 + "…"
 
 
