@@ -78,3 +78,8 @@ def listing(spark: SparkSession, path: str, recursive: bool = False, suffixes: t
             elif s.getPath().equals(p) or not name.startswith(("_", ".")) and name.endswith(suffixes):
                 found.append(Entry(s.getPath().toString(), s.getLen(), s.getModificationTime()))
     return sorted(found, key=lambda e: e.path)
+
+
+def block_path(base: str, name: str, suffix: str = ".jsonl") -> str:
+    """Where a named part of a dataset stands."""
+    return f"{base.rstrip('/')}/{name}{suffix if suffix.startswith('.') else '.' + suffix}"

@@ -60,6 +60,47 @@ def sampled_hints(values: DataFrame, locale: str | None = None) -> DataFrame:
     return g.select("path", "checked", "hits", F.round(ratio, 4).alias("ratio"), (ratio >= 0.35).alias("natural_language_like"), F.when(ratio >= 0.35, guess).alias("locale"))
 
 
+def split_scores(values: DataFrame, preferred: str | None = None) -> DataFrame:
+    """(path, delimiter, checked, hits, ratio, parts_avg, score, enabled, confidence) for the delimiters that split some of ``values`` (path, s).
+
+    Looked at are texts of one line that aren't blank, urls or JSON.
+    """
+    s = F.col("s")
+    one_line = (F.trim(s) != "") & ~F.regexp_like(s, F.lit(r"[\r\n]")) & ~hints.is_url(s) & ~F.regexp_like(s, F.lit(r"^\s*[{\[]"))
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("delimiter"), hints.parts(s, d).alias("parts")) for d in hints.DELIMITERS)))
+    one = values.where(one_line).select("path", each.alias("x")).select("path", "x.*")
+    cut, lengths = F.col("parts").isNotNull(), F.transform("parts", F.length)
+    g = one.groupBy("path", "delimiter").agg(
+        F.count(F.lit(1)).alias("checked"), F.count("parts").alias("hits"), F.sum(F.when(cut, F.size("parts"))).alias("n"),
+        F.sum(F.when(cut, F.aggregate(lengths, F.lit(0), lambda a, b: a + b))).alias("chars"), F.max(F.when(cut, F.array_max(lengths))).alias("longest"),
+    )
+    ratio, average, token = F.col("hits") / F.col("checked"), F.col("n") / F.col("hits"), F.col("chars") / F.col("n")
+    on = hints.split_enabled(ratio, average, F.col("longest"))
+    return g.where("hits > 0").select(
+        "path", "delimiter", "checked", "hits", F.round(ratio, 4).alias("ratio"), F.round(average, 3).alias("parts_avg"),
+        F.round(hints.split_score(F.col("delimiter"), ratio, average, token, F.col("longest"), preferred), 4).alias("score"), on.alias("enabled"), F.round(hints.split_confidence(ratio, average, on), 4).alias("confidence"),
+    )
+
+
+def split_candidates(values: DataFrame, preferred: str | None = None) -> DataFrame:
+    """The best delimiter of each path; of equals the first of the fixed list."""
+    order = F.array_position(F.array(*map(F.lit, hints.DELIMITERS)), F.col("delimiter"))
+    scores = split_scores(values, preferred)
+    rest = [c for c in scores.columns if c != "path"]
+    return scores.groupBy("path").agg(F.max_by(F.struct(*rest), F.struct("score", -order)).alias("x")).select("path", "x.*")
+
+
+def overridden(stats: DataFrame, overrides: Mapping[str, Mapping[str, Any]]) -> DataFrame:
+    """``stats`` with what a caller knows of fields: ``{path: {column: value}}`` replaces values of existing columns, or adds ``storage_hint``."""
+    out = stats if "storage_hint" in stats.columns else stats.withColumn("storage_hint", F.lit(None).cast("string"))
+    for path, known in overrides.items():
+        for column, value in known.items():
+            if column not in out.columns:
+                raise ValueError(f"no such column: {column}")
+            out = out.withColumn(column, F.when(F.col("path") == path, F.lit(value)).otherwise(F.col(column)))
+    return out
+
+
 def legacy_field(row: Mapping[str, Any]) -> dict[str, Any]:
     """A row of field statistics under the older names."""
     kinds = list(dict.fromkeys(TYPE_NAMES[t] for t in row["json_types"] if t != "null"))

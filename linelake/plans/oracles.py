@@ -127,5 +127,9 @@ SELECT count(*) FILTER (json_valid(s) AND s[1] IN ('{', '[')) AS hits, count(*)
 SELECT 'nation' AS name, count(*) AS n_rows, sum(strlen('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') + 1)::BIGINT AS n_bytes FROM nation
 UNION ALL SELECT 'region', count(*), sum(strlen('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}') + 1)::BIGINT FROM region
 UNION ALL SELECT 'labels', count(*), sum(strlen('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}') + 1)::BIGINT FROM labels""",
+    "legacy_text_stats": _each("orders", "o_orderkey o_custkey o_orderstatus o_orderdate o_orderpriority", "'{c}' AS path, count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct, CASE WHEN count(DISTINCT {c}) <= 100000 THEN count(DISTINCT {c}) = count(*) END AS unique"),
+    "legacy_distribution": " UNION ALL ".join(
+        f"SELECT '{c}' AS path, {c}::VARCHAR AS value, count(*) AS n FROM orders WHERE (SELECT count(DISTINCT {c}) FROM orders) <= 100 GROUP BY {c}" for c in ("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    ),
     "merge_profiles": _each("orders", "o_orderstatus o_orderpriority", "'{c}' AS path, {c} AS value, count(*) AS n").replace("FROM orders UNION", "FROM orders GROUP BY ALL UNION") + " GROUP BY ALL",
 }

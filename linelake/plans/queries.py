@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linelake.functions import hints
 from linelake.functions.json import strict
 from linelake.operators import index as ix
+from linelake.operators import legacy
 from linelake.operators import profile as pr
 from linelake.operators.nodes import nodes
 from linelake.session import json_settings
@@ -294,18 +295,8 @@ def hint_storage_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def split_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).otherwise(F.concat_ws("; ", F.split("p_name", " ")))
-    texts = table(spark, sf_dir, "part").select(s.alias("s"))
-    one = texts.select(F.explode(F.array(*(F.struct(F.lit(d).alias("delimiter"), hints.parts(F.col("s"), d).alias("parts")) for d in hints.DELIMITERS))).alias("x")).select("x.*")
-    n, total = F.size("parts"), F.aggregate(F.transform("parts", F.length), F.lit(0), lambda a, b: a + b)
-    longest = F.array_max(F.transform("parts", F.length))
-    g = one.groupBy("delimiter").agg(
-        F.count(F.lit(1)).alias("checked"), F.count("parts").alias("hits"), F.sum(F.when(F.col("parts").isNotNull(), n)).alias("n"),
-        F.sum(F.when(F.col("parts").isNotNull(), total)).alias("chars"), F.max(F.when(F.col("parts").isNotNull(), longest)).alias("longest"))
-    ratio, avg, tok = F.col("hits") / F.col("checked"), F.col("n") / F.col("hits"), F.col("chars") / F.col("n")
-    on = hints.split_enabled(ratio, avg, F.col("longest"))
-    return g.where("hits > 0").select(
-        "delimiter", F.round(ratio, 4).alias("ratio"), F.round(avg, 3).alias("parts_avg"), F.round(hints.split_score(F.col("delimiter"), ratio, avg, tok, F.col("longest")), 4).alias("score"),
-        on.alias("enabled"), F.round(hints.split_confidence(ratio, avg, on), 4).alias("confidence"))
+    values = table(spark, sf_dir, "part").select(F.lit("p").alias("path"), s.alias("s"))
+    return legacy.split_candidates(values).select("delimiter", "ratio", "parts_avg", "score", "enabled", "confidence")
 
 
 @query
@@ -332,6 +323,16 @@ def bytes_and_rows_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.octet_length("body").cast("long") + 1).alias("n_bytes"))
 
 
+@query
+def legacy_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return legacy.text_stats(nodes(log(spark, sf_dir, "orders"), 1)).where("path != 'o_totalprice'").select("path", "total", "nulls", "distinct", "unique")
+
+
+@query
+def legacy_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return legacy.distribution(pr.value_counts(nodes(log(spark, sf_dir, "orders"), 1)))
+
+
 @query
 def merge_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value counts of two parts of a log, added up, are those of the whole."""
