@@ -150,6 +150,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
     sought = pairs.join(blocks.drop("longest", "first_id", "n", "need"), "block")
     held = buckets.select(F.struct("longest", "first_id", "n", F.xxhash64("ids")).alias("bucket"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
     found = sought.join(held, "bucket").select("dim", "ids", "data", "least", "c_ids", "c_data").mapInPandas(_searched(k), "query_id long, vec_id long, score long")
+    found = staged(found, "found", 32)  # rows hold a bucket each
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
