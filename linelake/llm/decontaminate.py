@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, max_share: float = 0.0) -> DataFrame:
     """The rows of ``docs`` of whose words a share of at most ``max_share`` is hit, with all their columns. A row without id stays or goes by its text, as any other."""
     bad = (
-        contamination(docs.select("doc_id", "text").distinct(), items, size)
+        contamination(docs.select("doc_id", "text"), items, size)
         .where(F.col("n_hit") > max_share * F.col("n_words")).select(F.col("doc_id").alias("bad_id")).distinct()
     )
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
