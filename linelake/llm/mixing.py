@@ -79,11 +79,10 @@ def allocate(leaves: DataFrame, budget: int, target: Mapping[str, Mapping[str, f
     shortage is made good by siblings first, and goes up to the ancestors' siblings only if a whole subtree is short.
     """
     node = leaves.withColumn("room", F.col("tokens") * epochs)
-    above, out = [], node.select(F.lit(budget).cast("long").alias("budget")).distinct()
+    above, out = [], None
     for level in LEVELS:
         children = node.groupBy(*above, level).agg(F.sum("room").alias("room"))
-        parents = out.withColumnRenamed("budget", "above")
-        children = children.join(parents, above) if above else children.crossJoin(F.broadcast(parents))  # one row: the root
+        children = children.join(out.withColumnRenamed("budget", "above"), above) if above else children.withColumn("above", F.lit(budget).cast("long"))
         names = [*above, level]
         out = children.groupBy(*(above or [F.lit(0).alias("root")])).applyInPandas(_dealt(level, dict(target.get(level, {}))), ", ".join(f"{c} string" for c in names) + ", budget long")
         above = names
