@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base or _OWN[app]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Send at most so many rows at once to Python in the jobs run inside, to bound what a worker holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before) if int(before) > 0 else rows, rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def staged(df: DataFrame, label: str, batch: int = 2_000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and the rows stay as they are if executors are lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(spark, batch):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

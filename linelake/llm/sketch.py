@@ -9,15 +9,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batches_of
+
 #: Bits of each map: 16 MB at any input size.
 MAP_BITS = 27
 Sets = Callable[[list], Iterable[np.ndarray]]
 
 
+def _bits(h: np.ndarray, map_bits: int) -> list[np.ndarray]:
+    """The three bits of a hash in a map. All are in the block that its top 20 bits name, and so in the part of one bucket; they are chosen by
+    the next 18 bits."""
+    width = map_bits - 20
+    block = (h >> np.uint64(44)) << np.uint64(width)
+    return [(block | ((h >> np.uint64(64 - end)) & np.uint64((1 << width) - 1))).astype(np.int64) for end in (20 + width, 20 + 2 * width, 38)]
+
+
 def contains(bitmap: np.ndarray, h: np.ndarray, map_bits: int = MAP_BITS) -> np.ndarray:
-    """0 or 1 for each hash: whether the map's bit for it is set."""
-    i = h >> np.uint64(64 - map_bits)
-    return (bitmap[(i >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (i & np.uint64(7))).astype(np.uint8)) & 1
+    """0 or 1 for each hash: whether the map's bits for it are set."""
+    found = np.ones(len(h), np.uint8)
+    for i in _bits(h, map_bits):
+        found &= bitmap[i >> 3] >> (7 - (i & 7)).astype(np.uint8)
+    return found
 
 
 def _count(bits: int, sets: Sets):
@@ -49,10 +61,13 @@ def _maps(bits: int, map_bits: int, frequent: int):
         low, n = low[order], n[order]
         cuts = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
         low, n = low[cuts], np.add.reduceat(n, cuts)
+        bucket = int(rows["bucket"].iloc[0])
+        h = (np.uint64(bucket << 32) | low.astype(np.uint64)) << np.uint64(32 - bits)
         out = []
         for least in (2, frequent):
             part = np.zeros(1 << (map_bits - bits), np.uint8)
-            part[low[n >= least] >> np.uint32(32 - map_bits + bits)] = 1
+            for i in _bits(h[n >= least], map_bits):
+                part[i - (bucket << (map_bits - bits))] = 1
             out.append(np.packbits(part).tobytes())
         return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "twice": out[:1], "often": out[1:]})
 
@@ -60,7 +75,7 @@ def _maps(bits: int, map_bits: int, frequent: int):
 
 
 def frequency_maps(docs: DataFrame, sets: Sets, frequent: int = 255, map_bits: int = MAP_BITS) -> tuple[bytes, bytes]:
-    """Two bit maps over the top bits of a hash: set where a member of ``sets`` occurs in two documents or more, and in ``frequent`` or more.
+    """Two bit maps over hashes (``contains``): set where a member of ``sets`` occurs in two documents or more, and in ``frequent`` or more.
 
     All members of all documents' sets are counted, in buckets by hash that grow in number with the input. The maps' size is fixed. Where
     many hashes share a bit, more of them seem frequent than are: users of the maps must give right results all the same.
@@ -68,7 +83,10 @@ def frequency_maps(docs: DataFrame, sets: Sets, frequent: int = 255, map_bits: i
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     bits = min(max(int(size / (2 << 20)).bit_length(), 6), 20)
     parts = docs.select("text").mapInPandas(_count(bits, sets), "bucket long, low binary, n binary")
+    grouped = parts.groupBy("bucket").applyInPandas(_maps(bits, map_bits, frequent), "bucket long, twice binary, often binary")
     whole = np.zeros((2, 1 << bits, 1 << (map_bits - bits - 3)), np.uint8)
-    for r in parts.groupBy("bucket").applyInPandas(_maps(bits, map_bits, frequent), "bucket long, twice binary, often binary").toLocalIterator():
+    with batches_of(docs.sparkSession, 4_000):
+        found = grouped.collect()
+    for r in found:
         whole[0, r.bucket], whole[1, r.bucket] = np.frombuffer(r.twice, np.uint8), np.frombuffer(r.often, np.uint8)
     return whole[0].tobytes(), whole[1].tobytes()
