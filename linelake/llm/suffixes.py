@@ -20,9 +20,11 @@ from .sketch import contains, frequency_maps
 
 LENGTH = 50
 #: Each string of LENGTH bytes is represented by the least hash among its parts of PART bytes.
-PART = 20
+PART = 32
 #: The names are dealt out and sorted in so many rounds, to need less disk at a time, and in groups of about GROUP names.
 ROUNDS, GROUP = 4, 500_000
+#: Bits of the map of representatives that occur in several documents: 32 MB at any input size.
+MAP_BITS = 28
 _PIECE = 1 << 20
 _BYTES = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -42,24 +44,27 @@ def _triple(h: np.ndarray, step: int) -> np.ndarray:
     return _mix((h[:n] * _K + h[step : step + n]) * _K + h[2 * step : 2 * step + n])
 
 
-def _nines(data: np.ndarray) -> np.ndarray:
-    return _triple(_triple(_BYTES[data], 1), 3)
+def _thrice(data: np.ndarray) -> np.ndarray:
+    """A name for the 27 bytes from each place: triples of triples of triples."""
+    return _triple(_triple(_triple(_BYTES[data], 1), 3), 9)
 
 
-def _names(nines: np.ndarray) -> np.ndarray:
-    """A name for the 50 bytes from each place: two names of 27 bytes that overlap."""
-    h = _triple(nines, 9)
-    n = max(0, len(h) - (LENGTH - 27))
-    return _mix(h[:n] * _K + h[LENGTH - 27 : LENGTH - 27 + n])
+def _longer(h: np.ndarray, size: int) -> np.ndarray:
+    """A name for the ``size`` bytes from each place: two names of 27 bytes that overlap."""
+    n = max(0, len(h) - (size - 27))
+    return _mix(h[:n] * _K + h[size - 27 : size - 27 + n])
 
 
-def _least(nines: np.ndarray) -> np.ndarray:
-    """The least hash of a part of PART bytes within the 50 bytes from each place."""
-    n = max(0, len(nines) - 11)
-    h = _mix((nines[:n] * _K + nines[9 : 9 + n]) * _K + nines[11 : 11 + n])
-    for step in (1, 2, 4, 8, 15):  # the least of 2, 4, 8, 16, then 31
+def _names(h: np.ndarray) -> np.ndarray:
+    return _longer(h, LENGTH)
+
+
+def _least(h: np.ndarray) -> np.ndarray:
+    """The least hash of a part of PART bytes within the 50 bytes from each place; mixed again, as least values are all small ones."""
+    h = _longer(h, PART)
+    for step in (1, 2, 4, 8, LENGTH - PART + 1 - 16):  # the least of 2, 4, 8, 16, then of all 19
         h = np.minimum(h[:-step], h[step:]) if len(h) > step else h[:0]
-    return h
+    return _mix(h * _K)
 
 
 def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -79,14 +84,14 @@ def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 def _strings(some: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a group: nines over all its bytes; the piece of each string that doesn't cross pieces, and its place in the group."""
+    """Of a group: names of 27 bytes over all of it; the piece of each string that doesn't cross pieces, and its place in the group."""
     sizes = np.array([len(b) for _, _, b in some])
     data = np.frombuffer(b"".join(b for _, _, b in some), np.uint8)
     n = sizes - LENGTH + 1
     piece = np.repeat(np.arange(len(some)), n)
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    return _nines(data), piece, place
+    return _thrice(data), piece, place
 
 
 def _encoded(texts: list[str | None]) -> list[bytes]:
@@ -97,8 +102,8 @@ def part_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     """For each text the distinct least hashes of its strings."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
     for some in pieces(_encoded(texts)):
-        nines, piece, place = _strings(some)
-        least = _least(nines)[place]
+        thrice, piece, place = _strings(some)
+        least = _least(thrice)[place]
         change = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])))
         least, piece = least[change], piece[change]
         for p, cut in enumerate(np.split(least, np.searchsorted(piece, np.arange(1, len(some))))):
@@ -115,8 +120,8 @@ def _fragments(maps):
         for rows in batches:
             ids, keys = rows["doc_id"].to_numpy(), rows["key"].to_numpy()
             for some in pieces(_encoded(rows["text"].tolist())):
-                nines, piece, place = _strings(some)
-                kept = np.flatnonzero(contains(twice, _least(nines)[place]))
+                thrice, piece, place = _strings(some)
+                kept = np.flatnonzero(contains(twice, _least(thrice)[place], MAP_BITS))
                 if not len(kept):
                     continue
                 begin = np.flatnonzero(np.append(True, (np.diff(kept) != 1) | (np.diff(piece[kept]) != 0)))
@@ -156,13 +161,13 @@ def _packed(turn: int, buckets: int):
             ids, keys = ids[fresh].astype(np.int64), keys[fresh].astype(np.int64)
             parts: list[tuple[np.ndarray, ...]] = []
             for lo in range(0, len(data), 2_000):
-                nines, piece, place = _strings([(i, 0, b) for i, b in enumerate(data[lo : lo + 2_000])])
-                share = (_least(nines)[place] * _K >> np.uint64(20)) % np.uint64(ROUNDS * buckets)
+                thrice, piece, place = _strings([(i, 0, b) for i, b in enumerate(data[lo : lo + 2_000])])
+                share = (_least(thrice)[place] * _K >> np.uint64(20)) % np.uint64(ROUNDS * buckets)
                 mine = np.flatnonzero(share // np.uint64(buckets) == turn)
                 piece, place = piece[mine], place[mine]
                 size = np.array([len(b) for b in data[lo : lo + 2_000]])
                 at = starts[lo : lo + 2_000][piece] + place - (np.cumsum(size) - size)[piece]
-                parts.append((_names(nines)[place], number[lo : lo + 2_000][piece].astype(np.uint32), at.astype(np.uint32), (share[mine] % np.uint64(buckets)).astype(np.int32)))
+                parts.append((_names(thrice)[place], number[lo : lo + 2_000][piece].astype(np.uint32), at.astype(np.uint32), (share[mine] % np.uint64(buckets)).astype(np.int32)))
             if not parts:
                 continue
             name, doc, at, bucket = (np.concatenate(x) for x in zip(*parts))
@@ -178,13 +183,14 @@ def _packed(turn: int, buckets: int):
                 if not len(own):
                     continue
                 sent, old = own[~later[own]], own[later[own]]
+                here = np.unique(doc[own])
                 blobs = []
                 for x in (sent, old):
                     begin, n = _runs(x, doc, at)
                     run = np.zeros(len(n), _RUN)
-                    run["doc"], run["at"], run["n"] = doc[begin], at[begin], n
+                    run["doc"], run["at"], run["n"] = np.searchsorted(here, doc[begin]), at[begin], n
                     blobs.append(run.tobytes())
-                out[int(bucket[own[0]])] = (name[sent].tobytes(), *blobs, ids.tobytes(), keys.tobytes())
+                out[int(bucket[own[0]])] = (name[sent].tobytes(), *blobs, ids[here].tobytes(), keys[here].tobytes())
             yield pd.DataFrame([(b, *x) for b, x in out.items()], columns=["bucket", "names", "runs", "known", "ids", "keys"]).astype({"bucket": "int32"})
 
     return of
@@ -247,14 +253,14 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_UNKNOWN)).alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
-    maps = spark.sparkContext.broadcast(frequency_maps(rows, part_sets)[0])
+    maps = spark.sparkContext.broadcast(frequency_maps(rows, part_sets, map_bits=MAP_BITS)[0])
     fragments = staged(rows.mapInPandas(_fragments(maps), "doc_id long, key long, at long, data binary"), "fragments")
     total = fragments.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(1, -(-total // (ROUNDS * GROUP)))
     runs = None
     for turn in range(ROUNDS):
         packed = fragments.mapInPandas(_packed(turn, buckets), PACKED)
-        found = staged(packed.groupBy("bucket").applyInPandas(_compared, "doc_id long, key long, at long, n long"), "runs")
+        found = staged(packed.groupBy("bucket").applyInPandas(_compared, "doc_id long, key long, at long, n long"), "runs", 4_000)
         runs = found if runs is None else runs.unionByName(found)
         spark.sparkContext._jvm.System.gc()  # Spark deletes a round's shuffle files when its driver has forgotten the round
     each = runs.distinct().groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
