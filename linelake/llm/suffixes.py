@@ -263,7 +263,7 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
         found = staged(packed.groupBy("bucket").applyInPandas(_compared, "doc_id long, key long, at long, n long"), "runs", 4_000)
         runs = found if runs is None else runs.unionByName(found)
         spark.sparkContext._jvm.System.gc()  # Spark deletes a round's shuffle files when its driver has forgotten the round
-    each = runs.distinct().groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    each = runs.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set(F.struct("at", "n")).alias("runs"))  # of repeated rows once
     joined = rows.join(each, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left")
     cut = joined.select("doc_id", "text", _cut(F.when(F.col("runs").isNotNull(), F.col("text")), F.col("runs")).alias("x"))
     return cut.select(
