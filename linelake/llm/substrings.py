@@ -25,20 +25,23 @@ def sentences(text: str | None) -> list[str]:
 
 
 def spans(parts: list[str], least: int = SENTENCES, words: int = WORDS) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, number of sentences) of the shortest run from each sentence that has ``least`` sentences and ``words`` words.
+    """(hash, first sentence, number of sentences) of the shortest runs that have ``least`` sentences and ``words`` words.
 
-    The last run of a text is the shortest such run that ends with it. A text with words but too short for any run is one span.
+    That is for each sentence the shortest such run that starts with it and the shortest that ends with it. In any longer run each sentence
+    starts a run within it or lies in the one that ends with it, so these cover all that longer runs would. A text with words but too short
+    for any run is one span.
     """
     norm = [" ".join(p.lower().split()) for p in parts]
     count = [n.count(" ") + 1 if n else 0 for n in norm]
     total = np.concatenate([[0], np.cumsum(count)])
     n = len(parts)
     ends = np.maximum(np.searchsorted(total, total[:-1] + words), np.arange(n) + least)
-    runs = [(i, int(e)) for i, e in enumerate(ends) if e <= n]
-    if runs:
-        last = min(int(np.searchsorted(total, total[n] - words, side="right")) - 1, n - least)
-        runs += [] if runs[-1] == (last, n) else [(last, n)]
-    elif total[n]:
+    starts = np.minimum(np.searchsorted(total, total[1:] - words, side="right") - 1, np.arange(1, n + 1) - least)
+    forth = np.flatnonzero(ends <= n)
+    back = np.flatnonzero(starts >= 0)
+    both = np.unique(np.concatenate([forth * (n + 1) + ends[forth], starts[back] * (n + 1) + back + 1]))
+    runs = [divmod(x, n + 1) for x in both.tolist()]
+    if not runs and total[n]:
         runs = [(0, n)]
     for i, e in runs:
         yield xxhash.xxh3_64_intdigest("\n".join(norm[i:e]).encode("utf-8", "replace")) - (1 << 63), i, e - i

@@ -84,6 +84,37 @@ def test_substrings(spark):
     assert [r.text for r in same] == [shared, shared]
 
 
+def brute_all_runs(rows, least=2, words=8):
+    """The sentences that stay, by every run of at least ``least`` sentences and ``words`` words."""
+    first, placed = {}, []
+    for n, (i, t) in enumerate(rows):
+        norm = [" ".join(p.lower().split()) for p in substrings.sentences(t)]
+        every = [(a, b) for a in range(len(norm)) for b in range(a + least, len(norm) + 1) if sum(len(x.split()) for x in norm[a:b]) >= words]
+        for a, b in every or ([(0, len(norm))] if any(norm) else []):
+            placed.append((n, a, b, tuple(norm[a:b])))
+    for n, a, b, run in placed:
+        first.setdefault(run, (n, a))
+    out = []
+    for n, (i, t) in enumerate(rows):
+        gone = {j for m, a, b, run in placed if m == n and (n, a) > first[run] for j in range(a, b)}
+        out.append((i, "".join(p for j, p in enumerate(substrings.sentences(t)) if j not in gone), len(gone)))
+    return out
+
+
+def test_substrings_all_runs(spark):
+    rng = random.Random(22)
+    sentence = lambda n: " ".join("".join(rng.choices("abdeghilmnorstu", k=6)) for _ in range(n)) + ". "
+    passage = "".join(sentence(n) for n in (16, 54, 13, 16, 9, 5, 2))
+    rows = [(i, sentence(12) + passage + sentence(11)) for i in range(2)]
+    for i in range(2, 40):
+        short = "".join(sentence(rng.choice([1, 1, 2, 3, 5, 9])) for _ in range(rng.randint(2, 8))) + rng.choice(["", "\n\n"])
+        rows.append((i, sentence(rng.randint(1, 9)) + short + sentence(rng.randint(1, 9)) + rng.choice(rows)[1] + sentence(2)))
+    rows = [(i, t[:4000]) for i, t in rows]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in substrings.remove_repeats(frame(spark, rows)).collect())
+    assert next(n for i, _, n in got if i == 1) == 7
+    assert got == brute_all_runs(rows)
+
+
 # url rules
 
 
