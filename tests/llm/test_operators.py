@@ -311,6 +311,48 @@ def test_language(spark):
         assert model.phrases([parsed])[k, 0] == count, text
 
 
+def test_language_letters(spark):
+    rng = random.Random(31)
+    han, hangul = [chr(0x4E00 + i) for i in range(2000)], [chr(0xAC00 + i) for i in range(600)]
+    tongues = {"zh": han, "ko1": hangul[:300], "ko2": hangul[300:]}
+    words = {lang: ["".join(rng.choices(letters, k=4)) for _ in range(300)] for lang, letters in tongues.items()}
+    rows = []
+    for i in range(240):
+        lang = list(tongues)[i % 3]
+        rows.append((i, "COMMON HEADER " * 80 + " ".join(rng.choices(words[lang], k=1000)), lang))
+    # many languages of short texts, each of letters of its own
+    rows += [(1000 + 20 * k + j, "".join(rng.choices([chr(0x1400 + 8 * k + x) for x in range(8)], k=9)), f"l{k:02}") for k in range(75) for j in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.names) == 78 and model.width > 600
+    for k in (model.names.index("ko1"), model.names.index("l33")):
+        for text in (rows[1][1][1200:1800], rows[0][1][1000:1300], rows[-3][1]):
+            s, count, parsed = int(model.starts[k]), 1, model.letters(text)
+            for c in parsed:
+                move = int(model.parser[s + int(c)])
+                count, s = count + (move & 1), move >> 1
+            assert model.phrases([parsed])[k, 0] == count
+    texts = language._samples(docs, 20_000, 1_000)
+    assert len(texts["ko1"]) == 20_000 and texts["ko1"].count("HEADER") < 600 and len(texts["l33"]) == 20 * 10
+    probe = [(i, " ".join(rng.choices(words[lang], k=40)), None) for i, lang in enumerate(tongues)]
+    probe += [(3, rows[-1][1], None), (4, rows[240][1], None)]
+    got = dict(enumerate(p for p, _ in model.predict([t for _, t, _ in probe])))
+    assert got == {0: "zh", 1: "ko1", 2: "ko2", 3: "l74", 4: "l00"}
+
+
+def test_transitions():
+    rng = random.Random(5)
+    texts = [[rng.randrange(2, 40 if k else 900) for _ in range(1500)] for k in range(3)]
+    automata = [language._automaton(t) for t in texts]
+    moves, starts = language._transitions(automata, 902)
+    base = np.cumsum([0] + [len(a) for a in automata])
+    for k, a in enumerate(automata):
+        for s in range(0, len(a), 7):
+            got = moves[((int(base[k]) + s) << moves.shift) + np.arange(902)]
+            want = [2 * ((int(base[k]) + a[s].get(c, a[0].get(c, 0))) << moves.shift) + (c not in a[s]) for c in range(902)]
+            assert got.tolist() == want
+
+
 # mixing
 
 
