@@ -205,6 +205,27 @@ def test_chat(spark):
     assert chat.perspectives(long.where("false")).count() == 0
 
 
+def test_chat_crowded(spark, tmp_path):
+    rng = random.Random(41)
+    rows = [(7, rng.choice([None, *range(5)]), rng.choice(["ann", "bob", "system"]), f"t{rng.randrange(10**6)} é") for _ in range(2600)]
+    rows += [(7, 3, "ann", f"same turn {i}") for i in range(2300)] + [(8, 0, "ann", "hi"), (8, 70, "bob", "yo")]
+    rows += [(None, 1, "cy", f"n{i}") for i in range(1100)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {}
+    for conv, turn, role, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3])):
+        for who in {r[2] for r in rows if r[0] == conv} - {"system"} if conv != 7 else ("ann", "bob"):
+            n, t, mask = want.get((conv, who, None if turn is None else turn // 64), (0, "", []))
+            head = "<|im_start|>" + ("system" if role == "system" else "assistant" if role == who else f"user name={role}") + "\n"
+            body = text + "<|im_end|>\n"
+            mask = mask + [f"{len(t + head)}-{len(t + head + body)}"] if role == who else mask
+            want[conv, who, None if turn is None else turn // 64] = (n + 1, t + head + body, mask)
+    got = {(r.conv_id, r.participant, r.block): (r.n_turns, r.text, r["mask"]) for r in chat.op5_chat(spark, str(tmp_path)).collect()}
+    assert got == {k: (n, t, ",".join(mask)) for k, (n, t, mask) in want.items()} and len(got) == 9
+    parts = chat.perspectives(spark.read.parquet(f"{tmp_path}/conversations.parquet"), crowded=100).where("conv_id = 7 and participant = 'ann' and block = 0").orderBy("part").collect()
+    assert "".join(p.text for p in parts) == want[7, "ann", 0][1] and [p.n_turns for p in parts[:-1]] == [100] * (len(parts) - 1)
+
+
 # n-gram join
 
 
