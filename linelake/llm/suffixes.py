@@ -148,11 +148,15 @@ _RUN = np.dtype([("doc", np.uint32), ("at", np.uint32), ("n", np.uint32)])
 PACKED = "bucket int, names binary, runs binary, known binary, ids binary, keys binary"
 
 
-def _packed(turn: int, buckets: int):
+def _packed(turn: int, buckets: int, often):
     """For each batch and bucket: names with the runs of places they belong to, of each name only those in the batch's smallest document.
-    The others are not the first for sure: their runs are ``known``."""
+    The others are not the first for sure: their runs are ``known``, and go along with any bucket, here one chosen by batch.
+
+    A representative names the round and the bucket, so that neighbours go together; for one that is ``often`` the name itself names the
+    bucket, as many different strings may share it."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = np.frombuffer(often.value, np.uint8)
         for rows in batches:
             rows = rows.sort_values(["doc_id", "key", "at"], kind="stable")
             ids, keys, starts, data = (rows[c].to_numpy() for c in ("doc_id", "key", "at", "data"))
@@ -162,12 +166,16 @@ def _packed(turn: int, buckets: int):
             parts: list[tuple[np.ndarray, ...]] = []
             for lo in range(0, len(data), 2_000):
                 thrice, piece, place = _strings([(i, 0, b) for i, b in enumerate(data[lo : lo + 2_000])])
-                share = (_least(thrice)[place] * _K >> np.uint64(20)) % np.uint64(ROUNDS * buckets)
+                least = _least(thrice)[place]
+                share = (least * _K >> np.uint64(20)) % np.uint64(ROUNDS * buckets)
                 mine = np.flatnonzero(share // np.uint64(buckets) == turn)
                 piece, place = piece[mine], place[mine]
+                name = _names(thrice)[place]
+                split = contains(frequent, least[mine], MAP_BITS) > 0
+                bucket = np.where(split, (name * _K >> np.uint64(20)) % np.uint64(buckets), share[mine] % np.uint64(buckets))
                 size = np.array([len(b) for b in data[lo : lo + 2_000]])
                 at = starts[lo : lo + 2_000][piece] + place - (np.cumsum(size) - size)[piece]
-                parts.append((_names(thrice)[place], number[lo : lo + 2_000][piece].astype(np.uint32), at.astype(np.uint32), (share[mine] % np.uint64(buckets)).astype(np.int32)))
+                parts.append((name, number[lo : lo + 2_000][piece].astype(np.uint32), at.astype(np.uint32), bucket.astype(np.int32)))
             if not parts:
                 continue
             name, doc, at, bucket = (np.concatenate(x) for x in zip(*parts))
@@ -177,21 +185,23 @@ def _packed(turn: int, buckets: int):
             least = np.repeat(ids[doc[order[first]]], np.diff(np.append(first, len(order))))
             later = np.empty(len(name), bool)
             later[order] = ids[doc[order]] > least
-            out = {}
-            by = np.argsort(bucket, kind="stable")
-            for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
-                if not len(own):
-                    continue
-                sent, old = own[~later[own]], own[later[own]]
-                here = np.unique(doc[own])
+            out = []
+            sent = np.flatnonzero(~later)
+            by = sent[np.argsort(bucket[sent], kind="stable")]
+            groups = [(int(bucket[own[0]]), own, own[:0]) for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(own)]
+            old = np.flatnonzero(later)
+            if len(old):
+                groups.append((int(keys[doc[old[0]]]) % buckets, old[:0], old))
+            for b, sent, old in groups:
+                here = np.unique(doc[sent if len(sent) else old])
                 blobs = []
                 for x in (sent, old):
                     begin, n = _runs(x, doc, at)
                     run = np.zeros(len(n), _RUN)
                     run["doc"], run["at"], run["n"] = np.searchsorted(here, doc[begin]), at[begin], n
                     blobs.append(run.tobytes())
-                out[int(bucket[own[0]])] = (name[sent].tobytes(), *blobs, ids[here].tobytes(), keys[here].tobytes())
-            yield pd.DataFrame([(b, *x) for b, x in out.items()], columns=["bucket", "names", "runs", "known", "ids", "keys"]).astype({"bucket": "int32"})
+                out.append((b, name[sent].tobytes(), *blobs, ids[here].tobytes(), keys[here].tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "names", "runs", "known", "ids", "keys"]).astype({"bucket": "int32"})
 
     return of
 
@@ -247,19 +257,20 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
 
     Each string has a representative, the least hash among its parts of 20 bytes; strings whose representative is in one document only are
     left out (by a map of fixed size, which lets through too many rather than too few). Those left get names, are dealt out by their
-    representative, sorted by name, and compared with their neighbours. Of equal names in one batch of rows only those of the smallest
-    document are dealt out, so a string that a third of all documents share doesn't gather in one task.
+    representative, or by name if the representative is in 255 documents or more, sorted by name, and compared with their neighbours. Of
+    equal names in one batch of rows only those of the smallest document are dealt out, the other places are spread over all buckets; so
+    neither a string nor a representative that a third of all documents share gathers in one task.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_UNKNOWN)).alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
-    maps = spark.sparkContext.broadcast(frequency_maps(rows, part_sets, map_bits=MAP_BITS)[0])
+    maps, often = (spark.sparkContext.broadcast(m) for m in frequency_maps(rows, part_sets, map_bits=MAP_BITS))
     fragments = staged(rows.mapInPandas(_fragments(maps), "doc_id long, key long, at long, data binary"), "fragments")
     total = fragments.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(1, -(-total // (ROUNDS * GROUP)))
     runs = None
     for turn in range(ROUNDS):
-        packed = fragments.mapInPandas(_packed(turn, buckets), PACKED)
+        packed = fragments.mapInPandas(_packed(turn, buckets, often), PACKED)
         found = staged(packed.groupBy("bucket").applyInPandas(_compared, "doc_id long, key long, at long, n long"), "runs", 4_000)
         runs = found if runs is None else runs.unionByName(found)
         spark.sparkContext._jvm.System.gc()  # Spark deletes a round's shuffle files when its driver has forgotten the round

@@ -437,6 +437,32 @@ def test_suffixes(spark, seed):
     assert suffixes.remove_substrings(frame(spark, [])).count() == 0
 
 
+def test_suffixes_frequent_part(spark, monkeypatch):
+    """A line shorter than a string, in all documents with other text around it, and a long one that is the same in all."""
+    monkeypatch.setattr(suffixes, "GROUP", 500)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    line, same = text(40), text(70)
+    rows = [(i, text(60) + line + text(60) + same + text(5)) for i in range(400)]
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in suffixes.remove_substrings(frame(spark, rows)).collect()}
+    least = {}
+    for i, t in rows:
+        for a in range(len(t) - 49):
+            least.setdefault(t[a : a + 50], i)
+    for i, t in rows:
+        gone = {b for a in range(len(t) - 49) if least[t[a : a + 50]] < i for b in range(a, a + 50)}
+        assert got[i][0] == len(gone) and got[i][2] == "".join(c for b, c in enumerate(t) if b not in gone)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.sparkContext.broadcast(suffixes.frequency_maps(docs, suffixes.part_sets, map_bits=suffixes.MAP_BITS)[1])
+    batches = [suffixes.pd.DataFrame([(i, i * 7919, 60 - 20, t[40:120].encode()) for i, t in rows[k : k + 50]], columns=["doc_id", "key", "at", "data"]) for k in range(0, 400, 50)]
+    names, total = [], 0
+    for turn in range(suffixes.ROUNDS):
+        found = suffixes.pd.concat(suffixes._packed(turn, 8, often)(iter(batches)))
+        names.append(found.groupby("bucket")["names"].agg(lambda x: sum(map(len, x)) // 8))
+        total += int(names[-1].sum())
+    assert total == 400 * 31 and max(n.max() for n in names) < total / 6
+
+
 def test_suffixes_long_text(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_PIECE", 500)
     rng = random.Random(3)
