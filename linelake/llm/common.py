@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Rows sent to Python at once, at most.
+BATCH = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OWN: dict[str, str] = {}
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,34 +28,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
-    if not base and app not in _OWN:
-        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='linelake-')}"
-    return base or _OWN[app]
+    """The folder that every executor sees: ``spark.checkpoint.dir``. Where it is unset, one of our own in local mode; on a cluster that is an error."""
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if base:
+        return base
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='linelake-')}"
+    return _OWN[context.applicationId]
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH) -> None:
+    """From now on the session sends at most so many rows at once to Python: what a worker holds is a few rows' texts, not ten thousand."""
+    now = int(spark.conf.get(_ROWS))
+    if not 0 < now <= rows:
+        spark.conf.set(_ROWS, rows)
 
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Send at most so many rows at once to Python in the jobs run inside, to bound what a worker holds."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(int(before) if int(before) > 0 else rows, rows))
+    """Send at most so many rows at once to Python in the jobs run inside."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, min(int(before) if int(before) > 0 else rows, rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside go at the end: for results that are written by then."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        _SCRATCH.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def staged(df: DataFrame, label: str, batch: int = 2_000) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and the rows stay as they are if executors are lost."""
+def staged(df: DataFrame, label: str, batch: int = BATCH, kept: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and the rows stay as they are if executors are lost. kept: not scratch."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not kept and _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
     with batches_of(spark, batch):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give what a Python worker has freed back to the system; for the end of a task, as workers wait for the next one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, table
+from .common import bound_batches, fold, table
 
 #: Characters of labelled text in a language's automaton, of one document at most PIECE. This is the bounded sample that is fitted on.
 SAMPLE, PIECE = 20_000, 1_000
@@ -254,6 +254,7 @@ def languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Null texts and those without letters, and all if nothing was learned, are ``und`` with score 0; else the score is the winner's share
     of the inverse costs. Repeated rows get equal results.
     """
+    bound_batches(docs.sparkSession, 2_000)
     model = fit(docs.where("lang is not null and text is not null").where(F.coalesce(fold(F.col("doc_id")) != 0, F.lit(True))).select("doc_id", "text", "lang"), sample)
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     if model is None:

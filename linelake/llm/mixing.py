@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 from .common import staged, table, text_key
 
 LEVELS = ("domain", "lang", "source")
-#: Parts of a leaf's order of documents; only the part in which the budget ends is ordered row by row.
-PARTS = 1024
+#: A leaf's order of documents is cut into parts of about so many tokens, by its hash's first bits; only the part in which the budget ends is
+#: ordered row by row.
+PART_TOKENS = 1 << 20
 #: The leaves' table is broadcast up to so many rows, and shuffled beyond.
 BROADCAST_LEAVES = 100_000
 
@@ -94,17 +95,19 @@ def selection(docs: DataFrame, target: Mapping[str, Mapping[str, float]] = TARGE
 
     Each leaf (domain, lang, source) gives the budget that ``allocate`` sets for it: whole passes over its documents, then, of one more
     pass, a prefix of tokens in an order drawn from seed and epoch; the document where the budget ends is taken up to n_taken tokens. A null
-    domain, language or source is a leaf named ``(none)``. Texts that are null or without tokens are never taken. Repeated rows are each taken.
+    domain, language or source is a leaf named ``(none)``. Texts that are null or without tokens are never taken. Repeated rows are each taken, null
+    ids like others. Rows of equal place in the order stand by id, then by the text's hash. An empty table gives no rows. Further columns aren't
+    looked at.
     """
     names = [F.coalesce(domain if domain is not None else by_source(docs), F.lit("(none)")).alias("domain"), *(F.coalesce(c, F.lit("(none)")).alias(c) for c in LEVELS[1:])]
     slim = staged(docs.select("doc_id", text_key(F.col("text")).alias("key"), *names, tokens(F.col("text")).alias("n_tokens")).where("n_tokens > 0"), "tokens")
     leaves = staged(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens").alias("n")).first().n or 0
     plan = allocate(leaves, int(total * share), target, epochs).join(leaves, list(LEVELS))
-    plan = staged(plan.withColumns({"full": F.expr("budget div tokens").cast("int"), "rest": F.col("budget") % F.col("tokens")}).select(*LEVELS, "full", "rest"), "plan")
+    plan = staged(plan.withColumns({"full": F.expr("budget div tokens").cast("int"), "rest": F.col("budget") % F.col("tokens"), "bits": F.length(F.bin(F.floor(F.col("tokens") / PART_TOKENS)))}).select(*LEVELS, "full", "rest", "bits"), "plan")
     small = plan.count() <= BROADCAST_LEAVES
     order = F.xxhash64(F.lit(seed), "full", "doc_id", "key")
-    rows = slim.join(F.broadcast(plan) if small else plan, list(LEVELS)).withColumns({"order": order, "part": F.shiftrightunsigned(order, 64 - (PARTS - 1).bit_length())})
+    rows = slim.join(F.broadcast(plan) if small else plan, list(LEVELS)).withColumn("order", order).withColumns({"part": F.expr("shiftrightunsigned(order, 64 - bits)")})
     leaf = Window.partitionBy(*LEVELS)
     so_far = F.sum("n").over(leaf.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     ends = (
@@ -127,10 +130,12 @@ def selection(docs: DataFrame, target: Mapping[str, Mapping[str, float]] = TARGE
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The texts of a mixture: doc_id, domain, lang, source, epoch, n_tokens, n_taken, text; a text taken in part is its first n_taken tokens, joined by spaces."""
-    taken = selection(docs, **options).withColumnRenamed("doc_id", "d").withColumnRenamed("key", "k")
-    texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text").dropDuplicates(["doc_id", "key"])
+    same = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("j"), F.col("doc_id").isNull().alias("nameless"), "key"]
+    on = ["j", "nameless", "key"]  # repeated rows go where rows are joined: one shuffle of texts
+    taken = selection(docs, **options).select(*same, *LEVELS, "epoch", "n_tokens", "n_taken")
+    texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text").select(*same, "doc_id", "text").dropDuplicates(on)
     first = F.array_join(F.slice(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), F.lit(1), F.col("n_taken").cast("int")), " ")
-    return texts.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select(
+    return texts.join(taken, on).select(
         "doc_id", *LEVELS, "epoch", "n_tokens", "n_taken", F.when(F.col("n_taken") < F.col("n_tokens"), first).otherwise(F.col("text")).alias("text")
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, staged, table
+from .common import bound_batches, fold, staged, table
 
 THRESHOLD = 0.3
 SHRINKAGE = 0.1
@@ -109,6 +109,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have statistics like any other and get a score. A null id is not held out and has no label. Repeated rows get
     equal scores. Only doc_id and text are read.
     """
+    bound_batches(docs.sparkSession)
     stats = staged(docs.select("doc_id", features("text").alias("f")), "statistics")
     model = fit(stats.where(fold(F.col("doc_id")) != 0), labels)
     scored = stats.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), score(model, F.col("f")).alias("score"))
@@ -117,6 +118,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score at least ``threshold`` by a model fitted on all labels."""
+    bound_batches(docs.sparkSession)
     marked = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     model = fit(marked.select("doc_id", features("text").alias("f")), labels)
     return docs.where(score(model, features("text")) >= threshold)

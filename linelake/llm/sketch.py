@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of
+from .common import batches_of, release_memory
 
 #: Bits of each map: 16 MB at any input size.
 MAP_BITS = 27
@@ -47,6 +47,7 @@ def _count(bits: int, sets: Sets):
             yield pd.DataFrame({
                 "bucket": bucket[cuts], "low": [low[a:b].tobytes() for a, b in zip(edges, edges[1:])], "n": [n[a:b].tobytes() for a, b in zip(edges, edges[1:])],
             })
+        release_memory()
 
     return of
 
@@ -85,7 +86,7 @@ def frequency_maps(docs: DataFrame, sets: Sets, frequent: int = 255, map_bits: i
     parts = docs.select("text").mapInPandas(_count(bits, sets), "bucket long, low binary, n binary")
     grouped = parts.groupBy("bucket").applyInPandas(_maps(bits, map_bits, frequent), "bucket long, twice binary, often binary")
     whole = np.zeros((2, 1 << bits, 1 << (map_bits - bits - 3)), np.uint8)
-    with batches_of(docs.sparkSession, 4_000):
+    with batches_of(docs.sparkSession, 2_000):
         found = grouped.collect()
     for r in found:
         whole[0, r.bucket], whole[1, r.bucket] = np.frombuffer(r.twice, np.uint8), np.frombuffer(r.often, np.uint8)

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, table, text_key
+from .common import bound_batches, release_memory, staged, table, text_key
 
+#: A span has so many sentences and words at least: a notice or a line that many documents share is shorter, a passage longer.
 SENTENCES = 2
-WORDS = 8
+WORDS = 20
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 
 
@@ -25,11 +26,10 @@ def sentences(text: str | None) -> list[str]:
 
 
 def spans(parts: list[str], least: int = SENTENCES, words: int = WORDS) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, number of sentences) of the shortest runs that have ``least`` sentences and ``words`` words.
+    """(hash of 96 bits, first sentence, number of sentences) of the shortest runs that have ``least`` sentences and ``words`` words.
 
     That is for each sentence the shortest such run that starts with it and the shortest that ends with it. In any longer run each sentence
-    starts a run within it or lies in the one that ends with it, so these cover all that longer runs would. A text with words but too short
-    for any run is one span.
+    starts a run within it or lies in the one that ends with it, so these cover all that longer runs would. A text too short for a run has none.
     """
     norm = [" ".join(p.lower().split()) for p in parts]
     count = [n.count(" ") + 1 if n else 0 for n in norm]
@@ -40,21 +40,22 @@ def spans(parts: list[str], least: int = SENTENCES, words: int = WORDS) -> Itera
     forth = np.flatnonzero(ends <= n)
     back = np.flatnonzero(starts >= 0)
     both = np.unique(np.concatenate([forth * (n + 1) + ends[forth], starts[back] * (n + 1) + back + 1]))
-    runs = [divmod(x, n + 1) for x in both.tolist()]
-    if not runs and total[n]:
-        runs = [(0, n)]
-    for i, e in runs:
-        yield xxhash.xxh3_64_intdigest("\n".join(norm[i:e]).encode("utf-8", "replace")) - (1 << 63), i, e - i
+    for x in both.tolist():
+        i, e = divmod(x, n + 1)
+        yield xxhash.xxh3_128_intdigest("\n".join(norm[i:e]).encode("utf-8", "replace")) >> 32, i, e - i
 
 
 def _spans(least: int, words: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for at in range(0, len(rows), 500):
-                some = rows.iloc[at : at + 500]
-                found = [(h, d, k, i, m) for d, k, t in zip(some["doc_id"], some["key"], some["text"]) for h, i, m in spans(sentences(t), least, words)]
-                out = pd.DataFrame(found, columns=["h", "doc_id", "key", "at", "n"])
-                yield out.astype({"doc_id": some["doc_id"].dtype})
+            for at in range(0, len(rows), 250):
+                some = rows.iloc[at : at + 250]
+                found = [
+                    ((h >> 32) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31), d, k, i, m)
+                    for d, k, t in zip(some["doc_id"], some["key"], some["text"]) for h, i, m in spans(sentences(t), least, words)
+                ]
+                yield pd.DataFrame(found, columns=["h", "check", "doc_id", "key", "at", "n"]).astype({"doc_id": some["doc_id"].dtype})
+        release_memory()
 
     return of
 
@@ -79,22 +80,25 @@ def _cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
 def remove_repeats(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """``docs`` with the text less all sentences that a repeated span covers, and n_removed, the number of these sentences.
 
+    A span is a run of at least ``least`` sentences and ``words`` words; each sentence of a longer run that repeats is covered by spans within it.
     Spans are equal if their sentences' words are, in any case. The first of equal spans, by doc_id (null last), then by a hash of the
     text, then by place, keeps its sentences; all others lose theirs, in other documents and further on in the same one. Rows with equal
-    id and text count as one document and end alike. Null texts stay null and empty ones empty. Other columns are carried along.
+    id and text count as one document and end alike. Null texts stay null and empty ones empty. Texts may be of any length that a row can
+    hold. Other columns are carried along, whatever their names (an n_removed of the input is replaced). An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").where(F.length("text") > 0)
-    schema = "h long, doc_id long, key long, at int, n int"
+    schema = "h long, check int, doc_id long, key long, at int, n int"
     known = keyed.where("doc_id is not null").mapInPandas(_spans(least, words), schema)
     unknown = keyed.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "key", "text").mapInPandas(_spans(least, words), schema)
     found = staged(known.unionByName(unknown.withColumn("doc_id", F.lit(None).cast("long"))), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("key").alias("c"), F.col("at").alias("d"))
     # written, so that both sides of the join are plain exchanges, which Spark can split where one span is very frequent
     repeated = staged(
-        found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "first"), "repeated"
+        found.groupBy("h", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "check", "first"), "repeated"
     )
     runs = (
-        found.join(repeated, "h").where(place > F.col("first"))
+        found.join(repeated, ["h", "check"]).where(place > F.col("first"))
         .groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     )
     columns = docs.columns

@@ -17,15 +17,17 @@ TOP = 5
 #: Vectors in a bucket, and queries in a block.
 BUCKET = 1024
 QUERIES = 256
+#: Query blocks that one task pairs with the buckets.
+SHARE = 64
 #: From this cosine on, a bucket is pruned by a query's strongest coordinate as well as by length.
 STEEP = 0.8
 _SLACK = 1 + 1e-9
 
 
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v, norm): whole components floor(scale * x); rows without id, and vectors that are null, empty or hold null or non-finite parts, are left out."""
+    """(vec_id, v, norm): whole components floor(scale * x); rows without id, and vectors that are null or hold null or non-finite parts, are left out."""
     x = F.transform("embedding", lambda c: c.cast("double"))
-    sound = F.col("vec_id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    sound = F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     v = F.transform("x", lambda c: F.floor(c * scale).cast("double"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(sound).select("vec_id", v.alias("v")).withColumn("norm", norm)
@@ -51,8 +53,10 @@ PACKED = "dim int, longest double, first_id long, n int, ids binary, data binary
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Whole inner products: by float64 where that is exact, else by integers of any size, cut to what a long holds."""
-    if len(q) and len(c) and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2**53:
+    """Whole inner products: by float64 where that is exact, else by integers of any size, cut to what a long holds. Empty vectors: 0."""
+    if not (q.size and c.size):
+        return np.zeros((len(q), len(c)), np.int64)
+    if float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2**53:
         return (q @ c.T).astype(np.int64)
     whole = np.array([[int(x) for x in r] for r in q], object).reshape(q.shape) @ np.array([[int(x) for x in r] for r in c], object).reshape(c.shape).T
     return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
@@ -63,7 +67,7 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _vectors(row, ids: str = "ids", data: str = "data") -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row[ids], np.int64), np.frombuffer(row[data], np.float64).reshape(-1, row["dim"])
+    return np.frombuffer(row[ids], np.int64), np.frombuffer(row[data], np.float64).reshape(len(row[ids]) // 8, row["dim"])
 
 
 def _thresholds(seeds, k: int):
@@ -131,7 +135,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
     cosines, the query's strongest coordinate prune before the products are made. All are whole numbers, so results are exact.
 
     Rows with a query's own vec_id aren't its candidates. Queries are distinct ids: of one id's several vectors, the smallest is taken.
-    Vectors are compared with those of their own dimension only. Null ids and unsound vectors take no part (see ``scaled``).
+    Vectors are compared with those of their own dimension only; products of empty ones are 0. Null ids and unsound vectors take no part (see
+    ``scaled``). Repeated rows of ``vectors`` are each a candidate. Without queries or vectors there are no rows. Further columns aren't looked at.
     """
     spark = vectors.sparkSession
     base = staged(scaled(vectors, scale), "vectors")
@@ -143,14 +148,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = SCA
     asked = scaled(queries, scale).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("x")).select("vec_id", "x.*")
     blocks = asked.repartitionByRange(max(1, -(-parts * 8 * BUCKET // (50 * QUERIES))), "norm", "vec_id").mapInPandas(_packed(QUERIES), PACKED)
     blocks = staged(blocks.mapInPandas(_thresholds(seeds, k), PACKED + ", least binary, need double").withColumn("block", F.monotonically_increasing_id()), "queries")
-    place = buckets.select("dim", "longest", F.struct("longest", "first_id", "n", F.xxhash64("ids")).alias("bucket"))
-    asks = blocks.select("block", "dim", "need")
-    # numbers of blocks and buckets only: a stated query set against all rows, in blocks
-    pairs = staged(asks.join(place, (asks["dim"] == place["dim"]) & (place["longest"] * _SLACK >= asks["need"])).select("block", "bucket"), "pairs")
+    # numbers of blocks and buckets only: a stated query set against all rows, in blocks. Most vectors have one dimension, so blocks are dealt to
+    # shares of about SHARE, and the buckets' numbers go to each share
+    shares = max(1, -(-blocks.count() // SHARE))
+    place = buckets.select("dim", "longest", F.struct("longest", "first_id", "n", F.xxhash64("ids")).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    asks = blocks.select("block", "dim", "need", F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int").alias("share"))
+    near = (asks["dim"] == place["dim"]) & (asks["share"] == place["share"]) & (place["longest"] * _SLACK >= asks["need"])
+    pairs = staged(asks.join(place, near).select("block", "bucket"), "pairs")
     sought = pairs.join(blocks.drop("longest", "first_id", "n", "need"), "block")
     held = buckets.select(F.struct("longest", "first_id", "n", F.xxhash64("ids")).alias("bucket"), F.col("ids").alias("c_ids"), F.col("data").alias("c_data"))
     found = sought.join(held, "bucket").select("dim", "ids", "data", "least", "c_ids", "c_data").mapInPandas(_searched(k), "query_id long, vec_id long, score long")
     found = staged(found, "found", 32)  # rows hold a bucket each
+    seeds.unpersist()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -163,9 +172,9 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id != q.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= {TOP}

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -38,6 +39,25 @@ def test_quality(spark):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     held = [r for r in got if r.held_out and r.doc_id < 400]
     assert len(held) > 40 and all(r.predicted == int(r.doc_id % 3 > 0) for r in held if r.doc_id != 0)
+    # the textbook: densities from the shrunk covariances themselves
+    learned = [(np.array(quality.statistics(t)), int(i % 3 > 0)) for i, t in rows if i is not None and i < 400 and zlib.crc32(str(i).encode()) % 5]
+    own = [np.array([x for x, c in learned if c == k]) for k in (0, 1)]
+    spread = sum(np.var(o, axis=0) * len(o) for o in own) / len(learned) + 1e-6
+
+    def textbook(text):
+        x, density = np.array(quality.statistics(text)), []
+        for o in own:
+            cov, d = 0.9 * np.cov(o.T, bias=True) + 0.1 * np.diag(spread), x - o.mean(axis=0)
+            density.append(np.log(len(o) / len(learned)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * d @ np.linalg.solve(cov, d))
+        return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(textbook(t))
+    for r in got:
+        assert min(abs(r.score - x) for x in texts[r.doc_id]) < 1e-6
+    long = frame(spark, [(7, "word " * 400_000), (8, "x" * 1_000_000)])
+    assert all(0 <= r.score <= 1 for r in quality.quality(long, labels).collect())
     kept = quality.keep_quality(docs, labels)
     assert kept.columns == docs.columns and 200 < kept.count() < 280
     assert {r.score for r in quality.quality(docs, labels.where("false")).collect()} == {0.5}
@@ -67,8 +87,8 @@ def brute_repeats(rows):
 def test_spans():
     parts = substrings.sentences("One two three four five. Six.\nSeven eight nine ten eleven! Twelve?")
     assert "".join(parts) == "One two three four five. Six.\nSeven eight nine ten eleven! Twelve?" and len(parts) == 4
-    assert [(a, n) for _, a, n in substrings.spans(parts)] == [(0, 3), (0, 4)]
-    assert list(substrings.spans([])) == [] and [(a, n) for _, a, n in substrings.spans(["short"])] == [(0, 1)]
+    assert [(a, n) for _, a, n in substrings.spans(parts, words=8)] == [(0, 3), (0, 4)]
+    assert list(substrings.spans([])) == list(substrings.spans(parts)) == list(substrings.spans(["word " * 50])) == []
 
 
 def test_substrings(spark):
@@ -80,17 +100,20 @@ def test_substrings(spark):
     assert got == sorted(brute_repeats(rows), key=repr)
     assert next(t for i, t, _ in got if i == 40) == "" and sum(n for *_, n in got) > 30
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
+    long = " ".join(prose(rng, 12) + "." for _ in range(9000))
+    huge = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame(spark, [(1, long), (2, "Begin. " + long)])).collect()}
+    assert huge[1] == 0 and huge[2] >= 9000
     same = substrings.remove_repeats(frame(spark, [(1, shared), (1, shared)])).collect()
     assert [r.text for r in same] == [shared, shared]
 
 
-def brute_all_runs(rows, least=2, words=8):
+def brute_all_runs(rows, least=2, words=20):
     """The sentences that stay, by every run of at least ``least`` sentences and ``words`` words."""
     first, placed = {}, []
     for n, (i, t) in enumerate(rows):
         norm = [" ".join(p.lower().split()) for p in substrings.sentences(t)]
         every = [(a, b) for a in range(len(norm)) for b in range(a + least, len(norm) + 1) if sum(len(x.split()) for x in norm[a:b]) >= words]
-        for a, b in every or ([(0, len(norm))] if any(norm) else []):
+        for a, b in every:
             placed.append((n, a, b, tuple(norm[a:b])))
     for n, a, b, run in placed:
         first.setdefault(run, (n, a))
@@ -142,19 +165,39 @@ def test_mined_rules(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
     got = {r.page_id: r.verdict for r in url_rules.judge(pages, labels, rules=()).collect()}
-    # brute force: each subset of each url's tokens
+    # brute force: each subset of each url's tokens, of up to three; larger ones of the same urls imply no more here
     found = pages.select("page_id", url_rules.url_tokens(F.col("url"), url_rules.host(F.col("url")), url_rules.path(F.col("url"))).alias("t")).collect()
     n, hits = {}, {}
     for r in found:
-        for k in range(1, len(r.t) + 1):
+        for k in range(1, 4):
             for c in itertools.combinations(sorted(r.t), k):
                 n[c] = n.get(c, 0) + 1
                 hits[c] = hits.get(c, 0) + (r.page_id % 4 == 0)
-    good = {c for c in n if hits[c] >= 10 and hits[c] / n[c] >= 0.5 and hits[c] >= 0.001 * 300}
-    want = {r.page_id: "block" if any(c in good for k in range(1, len(r.t) + 1) for c in itertools.combinations(sorted(r.t), k)) else "allow" for r in found}
+    good = {c for c in n if hits[c] >= url_rules.LEAST and hits[c] / n[c] >= 0.5 and hits[c] >= 0.001 * 300}
+    want = {r.page_id: "block" if any(c in good for k in range(1, 4) for c in itertools.combinations(sorted(r.t), k)) else "allow" for r in found}
     assert got == want and set(want.values()) == {"allow", "block"}
 
 
+def test_rules_of_long_queries(spark):
+    """Copies of a url with 30 keys would have 2 ** 30 combinations; equal tokens, repeated pages and odd urls too."""
+    query = "&".join(f"k{j}=v{j}" for j in range(30))
+    rows = [(i, f"http://a.example.io/x?{query}") for i in range(60)] + [(100 + i, f"http://b{i}.example.io/") for i in range(60)]
+    rows += [(500, "http://a.example.io/x?" + "a=b&" * 50_000), (501, ""), (502, None), (503, "http://"), (3, f"http://a.example.io/x?{query}")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, host string, tokens string")
+    labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    got = url_rules.judge(pages, labels).collect()
+    assert len(got) == len(rows) and {r.page_id for r in got if r.verdict == "block"} == {*range(60), 500}
+    assert url_rules.judge(pages.where("false"), labels).count() == 0
+
+
+def test_url_tokens(spark):
+    url = "https://WWW.free-bets.Example.com/en/casino-win/77/cheap_pills.html?q=free-bets&page=2&ref#top"
+    u = F.col("u")
+    got = spark.createDataFrame([(url,)], "u string").select(url_rules.url_tokens(u, url_rules.host(u), url_rules.path(u)).alias("t"), url_rules.document_of(F.lit("http://x.y/de/12.html?z")).alias("d")).first()
+    assert {"word free", "word bets", "top com", "folder en", "folder casino-win", "file cheap", "file pills", "ending html", "key q", "pair q=free-bets", "key page", "key ref", "scheme https"} <= set(got.t)
+    assert not any(re.search(r"77|page=2", t) for t in got.t) and got.d == 12
+
+
 # decontamination
 
 
@@ -176,6 +219,8 @@ def test_decontaminate(spark):
     items = [(i, prose(rng, rng.randint(8, 30), 40)) for i in range(12)] + [(50, "Two words"), (51, ""), (52, None), (53, items_text := prose(rng, 12)), (None, items_text)]
     rows = [(i, prose(rng, 80, 40)) for i in range(10)]
     rows += [(20 + i, prose(rng, 20) + ", " + (items[i][1] or "").upper() + " -- " + prose(rng, 9)) for i in range(16)] + [(60, None), (61, ""), (62, "two-words! two"), (62, "two-words! two"), (None, items_text)]
+    # clean rows that share their id, or the lack of one, with bad ones
+    rows += [(None, prose(rng, 30, 40)), (None, prose(rng, 30, 40)), (None, None), (21, prose(rng, 30, 40)), (53, items_text), (22, "x " * 200_000 + items_text), (63, "only")]
     table = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id long, text string, doc_id int")
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(frame(spark, rows), table).collect()), key=repr)
     want = []
@@ -184,7 +229,9 @@ def test_decontaminate(spark):
         want.append((i, n, hit, len([x for x in whose if x != "None"])))
     assert got == sorted(want, key=repr) and sum(x[2] for x in want) > 100
     kept = decontaminate.decontaminate(frame(spark, rows), table)
-    assert kept.columns == frame(spark, []).columns and kept.count() == sum(x[2] == 0 for x in want)
+    assert kept.columns == frame(spark, []).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(((i, t) for i, t in rows if not brute_hits(t, items)[1]), key=repr)
+    assert decontaminate.contamination(frame(spark, []), table).count() == 0
     assert decontaminate.contamination(frame(spark, rows[:3]), table.where("false")).where("contaminated").count() == 0
 
 
@@ -266,10 +313,26 @@ def test_ngram_join(spark, seed):
             rows.append((len(rows) * 3 % 101, " ".join(copy)))
     common = prose(rng, 100)
     rows += [(200 + i, common + " " + prose(rng, 12 + i)) for i in range(12)] + [(300, None), (301, ""), (302, "a b c"), (303, "A\tb  c"), (None, "a b c"), (300, "x y")]
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()), key=repr)
+    options = {} if seed == 1 else {"sig_bits": 3, "stars": 1}  # sets that share their hash; almost all pairs in the last round
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows), **options).collect()), key=repr)
     assert got == brute_components(rows)
 
 
+def test_ngram_join_shared_passages(spark, monkeypatch):
+    """Documents of shared passages, none alike: lists are long, but the pairs whose sets are compared stay in proportion to the documents."""
+    rng = random.Random(12)
+    passages = [prose(rng, 70) for _ in range(40)]
+    compared, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: (compared.append(pairs.count()), verified(pairs, *rest))[1])
+    for n in (200, 400):
+        rows = [(i, " ".join(passages[j] for j in rng.sample(range(40), 4))) for i in range(n)]
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()), key=repr)
+        assert got == brute_components(rows)
+        compared.append(-n)
+    first, second = sum(x for x in compared[: compared.index(-200)]), sum(x for x in compared[compared.index(-200) + 1 : -1])
+    assert second < 3 * first and sum(compared[compared.index(-200) + 4 : -1]) < 40
+
+
 def test_ngram_join_keeps_one(spark):
     docs = frame(spark, [(3, "a b c d e f"), (1, "a b c d e f"), (2, "q r s"), (None, "q r s"), (4, "")])
     kept = ngram_join.one_of_each(docs)
@@ -284,16 +347,16 @@ def test_topk(spark):
     rng = np.random.default_rng(7)
     x = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(3000)]
     x[10] = (10, x[20][1])
-    x += [(5000, None), (5001, [None] * 8), (5002, [float("nan")] * 8), (5003, []), (None, [1.0] * 8), (5004, [1.0] * 3), (5005, [2.0] * 3), (5050, [0.0] * 8)]
+    x += [(5000, None), (5001, [None] * 8), (5002, [float("nan")] * 8), (5003, []), (5100, []), (None, [1.0] * 8), (5004, [1.0] * 3), (5005, [2.0] * 3), (5050, [0.0] * 8)]
     vectors = spark.createDataFrame([(i, v, 1) for i, v in x], "vec_id long, embedding array<double>, rank int")
     got = {}
     for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0 or vec_id = 5004")).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    sound = {i: [int(np.floor(256 * c)) for c in v] for i, v in x if i is not None and v and all(c is not None and np.isfinite(c) for c in v)}
+    sound = {i: [int(np.floor(256 * c)) for c in v] for i, v in x if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)}
     for q in [i for i in sound if i % 50 == 0 or i == 5004]:
         best = sorted((-sum(a * b for a, b in zip(sound[q], v)), i) for i, v in sound.items() if i != q and len(v) == len(sound[q]))[:5]
         assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    assert len(got) == 62 and topk.top_k(vectors.where("false"), vectors).count() == 0
+    assert len(got) == 63 and got[5100] == [(1, 5003, 0)] and topk.top_k(vectors.where("false"), vectors).count() == 0
 
 
 # language
@@ -321,6 +384,25 @@ def test_language(spark):
     got = {r.doc_id: r for r in language.languages(docs).collect()}
     assert all(got[i].lang_pred == lang and 0.5 < got[i].score <= 1 for i, _, lang in rows[:200])
     assert got[500].lang_pred == got[501].lang_pred == got[502].lang_pred == "und" and got[503].lang_pred == "xx" and got[None].lang_pred == "yy"
+    # greedy longest phrases, from the raw texts
+    letters = lambda t: re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in t))
+    learned = docs.where("lang is not null and text is not null").where("doc_id is null or crc32(cast(doc_id as string)) % 5 != 0").select("doc_id", "text", "lang")
+    samples = {k: letters(t) for k, t in language._samples(learned, language.SAMPLE, language.PIECE).items()}
+    for i, t, _ in [r for r in rows if r[0] in (1, 2, 7, 130, 503)]:
+        cost = {}
+        for k, sample in samples.items():
+            count, open_phrase = 1, ""
+            for c in letters(t):
+                if open_phrase + c in sample:
+                    open_phrase += c
+                else:
+                    count, open_phrase = count + 1, c if c in sample else ""
+            cost[k] = count * np.log2(len(sample))
+        best = min(cost, key=cost.get)
+        assert got[i].lang_pred == best and abs(got[i].score - 1 / cost[best] / sum(1 / x for x in cost.values())) < 1e-9
+    long = spark.createDataFrame([(900, "abcde fgh " * 100_000, None, 1.0), (900, "abcde fgh " * 100_000, None, 1.0)], docs.schema)
+    assert [r.lang_pred for r in language.languages(docs.unionByName(long)).where("doc_id = 900").collect()] == ["xx", "xx"]
+    assert language.languages(docs.where("false")).count() == 0
     assert {r.lang_pred for r in language.languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     model = language.fit(docs.select("doc_id", "text", "lang").where("lang is not null and text is not null"))
     text, parsed = rows[3][1], model.letters(rows[3][1])
@@ -404,9 +486,26 @@ def test_mixing(spark):
         taken[r.domain, r.lang, r.source] = taken.get((r.domain, r.lang, r.source), 0) + r.n_taken
     assert taken == {k: v for k, v in budget.items() if len(k) == 3 and v} and all(0 < r.n_taken <= r.n_tokens for r in got)
     assert all(sum(r.n_taken < r.n_tokens for r in got if (r.domain, r.lang, r.source) == leaf) <= 1 for leaf in taken) and max(r.epoch for r in got) >= 1
+    # which documents: whole passes, then a prefix of the order drawn from seed and epoch
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("key"), "lang", "source", mixing.tokens(F.col("text")).alias("n")).where("n > 0").collect()
+    want = []
+    for leaf in taken:
+        own = [r for r in sizes if leaf_of(r.lang, r.source) == leaf]
+        full, rest = divmod(budget[leaf], sum(r.n for r in own))
+        want += [(r.doc_id, r.key, *leaf, e, r.n, r.n) for r in own for e in range(full)]
+        drawn = spark.createDataFrame([(r.doc_id, r.key, r.n) for r in own], "doc_id long, key long, n long").withColumn("o", F.xxhash64(F.lit(5), F.lit(full), "doc_id", "key")).collect()
+        for r in sorted(drawn, key=lambda r: (r.o % 2**64, r.doc_id, r.key)):
+            if rest > 0:
+                want.append((r.doc_id, r.key, *leaf, full, r.n, min(r.n, rest)))
+            rest -= r.n
+    assert sorted((r.doc_id, r.key, r.domain, r.lang, r.source, r.epoch, r.n_tokens, r.n_taken) for r in got) == sorted(want)
     texts = mixing.mixture(docs, target=target, share=0.6, epochs=3, seed=5).collect()
+    words = {(i, w) for i, t, *_ in rows for w in [tuple((t or "").split())]}
+    assert all(any(i == r.doc_id and w[: r.n_taken] == tuple(r.text.split()) for i, w in words) for r in texts)
     assert sum(len(r.text.split()) for r in texts) == sum(r.n_taken for r in got)
-    assert mixing.selection(docs.where("false")).count() == 0
+    assert mixing.selection(docs.where("false")).count() == 0 and mixing.mixture(docs.where("false")).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d", None, None, 1), (1, "x " * 300_000, "en", "s1", 1), (1, "", "en", "s1", 1)], docs.schema)
+    assert sum(r.n_taken for r in mixing.selection(odd, epochs=1).collect()) == 150_002
 
 
 # suffixes
