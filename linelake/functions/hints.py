@@ -78,8 +78,12 @@ def split_confidence(ratio: Column, parts_avg: Column, enabled: Column) -> Colum
     return base * F.when(enabled, 1.0).otherwise(0.6)
 
 
-def stopword_hits(s: Column, language: str) -> Column:
-    words = F.split(F.lower(s), r"[^\p{L}]+")
+def words(s: Column) -> Column:
+    """Lower-case words: runs of letters."""
+    return F.split(F.lower(s), r"[^\p{L}]+")
+
+
+def stopword_hits(words: Column, language: str) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*STOPWORDS[language])))
 
 

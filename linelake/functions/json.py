@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What the host language's trim strips.
@@ -19,18 +19,29 @@ def trimmed(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 
 
-def strict(body: Column) -> tuple[Column, Column]:
-    """(valid, value): whether all of ``body`` is one JSON value, and that value.
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns, each computed once for a row, however often it is used: the optimizer doesn't copy expressions out of a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def paired(body: Column) -> Column:
+    """The text as the first of two elements of an array, parsed: Spark's parsers accept what follows a first value, but here anything else
+    after it moves or hides the second."""
+    return F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_END}"]')))
 
-    Spark's parsers accept what follows a first value, so the text is parsed as the first of two elements of an array: anything else
-    after it moves or hides the second.
-    """
-    pair = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_END}"]')))
+
+def unpaired(pair: Column) -> tuple[Column, Column]:
+    """(valid, value) of ``paired``: whether all of the text is one JSON value, and that value."""
     ends = (F.try_variant_get(pair, "$[1]", "string") == _END) & F.try_variant_get(pair, "$[2]", "variant").isNull()
     valid = F.coalesce(ends, F.lit(False))
     return valid, F.when(valid, F.try_variant_get(pair, "$[0]", "variant"))
 
 
+def strict(body: Column) -> tuple[Column, Column]:
+    """(valid, value): whether all of ``body`` is one JSON value, and that value. Over tables, ``parsed`` parses once for both."""
+    return unpaired(paired(body))
+
+
 def json_type(schema: Column) -> Column:
     """The JSON type's name from ``schema_of_variant``; booleans are ``boolean`` here, as their histogram names need the value."""
     whole = (F.regexp_extract(schema, r"^DECIMAL\((\d+),0\)$", 1) != "") & (F.regexp_extract(schema, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int") >= 19)
@@ -79,8 +90,11 @@ def checked_name(name: str) -> str:
     return name
 
 
-def extracted(body: Column, value: Column, name: str) -> Column:
-    """A field as text: numbers as written, booleans as 1 and 0, containers as JSON; null where missing or null."""
-    at = "$." + checked_name(name)
-    logic = F.when(F.schema_of_variant(F.try_variant_get(value, at, "variant")) == "BOOLEAN", F.try_variant_get(value, at, "boolean"))
-    return F.coalesce(logic.cast("int").cast("string"), F.get_json_object(body, at))
+def extracted(body: Column, value: Column, kind: Column, name: str) -> Column:
+    """A field as text: numbers as written, booleans as 1 and 0, containers as JSON; null where missing or null. value: the field's; kind: its
+    ``schema_of_variant``. The text is only looked at again for what must stand as written."""
+    get = lambda t: F.try_variant_get(value, "$", t)
+    return (
+        F.when(kind == "STRING", get("string")).when(kind == "BIGINT", get("bigint").cast("string")).when(kind == "BOOLEAN", get("boolean").cast("int").cast("string"))
+        .when(value.isNotNull() & (kind != "VOID"), F.get_json_object(body, "$." + checked_name(name)))
+    )

@@ -7,23 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linelake.functions.json import checked_name, extracted
+from linelake.functions.json import checked_name, extracted, once
 from linelake.session import json_settings
 
 
-def keyed(rows: DataFrame, pk: Sequence[str] = ("id",), facets: Sequence[str] = (), order: Sequence[str] = ("line_no",)) -> DataFrame:
+def keyed(rows: DataFrame, pk: Sequence[str] = ("id",), facets: Sequence[str] = (), order: Sequence[str] = ("line_no",), several: bool = False) -> DataFrame:
     """(pk, attrs, and the ``order`` columns and offset if present) of valid ``rows`` (body, v, line_no).
 
-    Several key fields are joined by colons; if one is missing or null, the key is ``#`` and the line number. attrs is null without facets.
+    Several key fields are joined by colons; if one is missing or null, the key is ``#`` and the line number; with the file's name before the
+    number where rows come from ``several`` files, as numbers begin anew in each. attrs is null without facets.
     """
+    names = list(dict.fromkeys([*pk, *facets]))
     with json_settings(rows.sparkSession):
-        field = lambda name: extracted(F.col("body"), F.col("v"), name)
+        kept = list(dict.fromkeys([*order, *(c for c in ("file", "offset", "line_no") if c in rows.columns)]))
+        good = rows.where("valid").select("body", "v", *kept)
+        good = once(good, **{f"_v{i}": F.try_variant_get("v", "$." + checked_name(n), "variant") for i, n in enumerate(names)})
+        good = once(good, **{f"_k{i}": F.schema_of_variant(f"_v{i}") for i in range(len(names))})
+        good = once(good, **{f"_f{i}": extracted(F.col("body"), F.col(f"_v{i}"), F.col(f"_k{i}"), n) for i, n in enumerate(names)})
+        field = {n: F.col(f"_f{i}") for i, n in enumerate(names)}
         parts: list[Column] = []
         for name in pk:
-            parts += [F.lit(":"), field(name)] if parts else [field(name)]
-        attrs = F.map_from_arrays(F.array(*(F.lit(checked_name(f)) for f in facets)), F.array(*map(field, facets))) if facets else F.lit(None).cast("map<string,string>")
-        kept = list(dict.fromkeys([*order, *(c for c in ("file", "offset", "line_no") if c in rows.columns)]))
-        out = rows.where("valid").select(F.coalesce(F.concat(*parts), F.concat(F.lit("#"), F.col("line_no"))).alias("pk"), attrs.alias("attrs"), *kept)
+            parts += [F.lit(":"), field[name]] if parts else [field[name]]
+        attrs = F.map_from_arrays(F.array(*map(F.lit, facets)), F.array(*(field[f] for f in facets))) if facets else F.lit(None).cast("map<string,string>")
+        # line numbers begin anew in each file, so a row without a key is named by file and line where there are several files
+        many = F.concat(F.element_at(F.split("file", "/"), -1), F.lit(":")) if "file" in rows.columns and several else F.lit("")
+        own = F.concat(F.lit("#"), many, F.col("line_no").cast("string"))
+        out = good.select(F.coalesce(F.concat(*parts), own).alias("pk"), attrs.alias("attrs"), *kept)
         out.schema  # noqa: B018
     return out
 

@@ -7,9 +7,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linelake.functions import hints
-from linelake.functions.json import atom_text
+from linelake.functions.json import atom_text, once
 
 # fixed values
 TYPE_NAMES = {"integer": "int", "real": "float", "true": "bool", "false": "bool", "text": "string", "array": "array", "object": "object"}
@@ -37,7 +38,7 @@ def text_stats(found: DataFrame, pushed: bool = False) -> DataFrame:
 
 def distribution(counts: DataFrame, most: int = 100, longest: int = 64) -> DataFrame:
     """(path, value, n) of fields with at most ``most`` values, for values of at most ``longest`` characters."""
-    few = counts.groupBy("path").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") <= most).select("path")
+    few = counts.groupBy("path").agg(F.count("key").alias("d")).where(F.col("d") <= most).select("path")
     value = F.expr("substring(key, 3)")
     return counts.where("not startswith(key, 'h:')").join(few, "path", "left_semi").select("path", value.alias("value"), "n").where(F.length("value") <= longest)
 
@@ -47,13 +48,15 @@ def sampled_hints(values: DataFrame, locale: str | None = None) -> DataFrame:
 
     Code, texts without a space and those of under three words count as looked at, not as language.
     """
-    first = values.groupBy("path").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "s"))), 1, SAMPLES).alias("x")).select("path", F.explode("x.s").alias("s"))
+    order = Window.partitionBy("path").orderBy("at", "s")  # limited before the shuffle, so no path gathers
+    first = values.select("path", "at", "s").withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLES).select("path", "s")
+    first = once(first, words=F.filter(hints.words(F.trim("s")), lambda w: w != ""))
     s = F.trim("s")
-    words = F.size(F.filter(F.split(F.lower(s), r"[^\p{L}]+"), lambda w: w != ""))
+    words = F.size("words")
     spoken = ~hints.is_code(s) & F.contains(s, F.lit(" ")) & (words >= 3)
     few_digits = F.regexp_count(s, F.lit(r"\d")) <= F.greatest(F.lit(2), F.floor(F.octet_length(s) / 25))
     hit = spoken & few_digits & ~hints.is_url(s)
-    sums = {n: F.coalesce(F.sum(F.when(spoken, hints.stopword_hits(s, n))), F.lit(0)).alias(n) for n in hints.STOPWORDS}
+    sums = {n: F.coalesce(F.sum(F.when(spoken, hints.stopword_hits(F.col("words"), n))), F.lit(0)).alias(n) for n in hints.STOPWORDS}
     g = first.where(F.length(s) > 0).groupBy("path").agg(F.count(F.lit(1)).alias("checked"), F.count_if(hit).alias("hits"), *sums.values())
     ratio = F.col("hits") / F.col("checked")
     guess = F.lit(locale) if locale else hints.locale_of({n: F.col(n) for n in sums})

@@ -7,12 +7,24 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linelake.functions.json import atom, json_type, path_step
+from linelake.functions.json import atom, json_type, once, path_step
 from linelake.session import json_settings
 
 DEPTH = 6
 
 
+def _typed(values: DataFrame) -> DataFrame:
+    """``values`` (value, ...) with kind, the JSON type, read once."""
+    return once(once(values, schema=F.schema_of_variant("value")), kind=json_type(F.col("schema"))).drop("schema")
+
+
+def _read(values: DataFrame, *keys: str) -> DataFrame:
+    """json_type and atom of ``values`` (value, kind)."""
+    logic = F.try_variant_get("value", "$", "boolean").cast("string")
+    name = F.when(F.col("kind") == "boolean", logic).otherwise(F.col("kind"))
+    return once(values, json_type=name, atom=atom(F.col("value"), F.col("kind"))).select(*keys, "json_type", "atom")
+
+
 def nodes(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(path, depth, json_type, atom) of all values of ``rows`` (v) but objects, roots, and what is inside arrays.
 
@@ -21,22 +33,17 @@ def nodes(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     spark = rows.sparkSession
     with json_settings(spark):
-        level = rows.select(F.col("v").alias("value"), F.lit("").alias("path"), F.lit(0).alias("depth"))
-        level = level.where(F.startswith(F.schema_of_variant("value"), F.lit("OBJECT")))
+        level = rows.select(F.col("v").alias("value"), F.lit("").alias("path"), F.lit(0).alias("depth")).where("value is not null")
         out = None
-        for _ in range(depth):
+        for n in range(depth):
             inner = level.select(F.col("value").alias("parent"), F.col("path").alias("above"), F.col("depth").alias("up"))
             each = inner.lateralJoin(spark.tvf.variant_explode(F.col("parent").outer())).where("key is not null").where(~F.contains("key", F.lit("[")))
             dots = F.length("key") - F.length(F.replace("key", F.lit("."), F.lit("")))
             step = path_step(F.col("key"))
-            level = each.select(
-                F.col("value"), F.when(F.col("above") == "", step).otherwise(F.concat("above", F.lit("."), step)).alias("path"),
-                (F.col("up") + 1 + dots).cast("int").alias("depth"), json_type(F.schema_of_variant("value")).alias("kind"),
-            ).where(F.col("depth") <= depth)
-            logic = F.try_variant_get("value", "$", "boolean").cast("string")
-            found = level.where("kind != 'object'").select(
-                "path", "depth", F.when(F.col("kind") == "boolean", logic).otherwise(F.col("kind")).alias("json_type"), atom(F.col("value"), F.col("kind")).alias("atom")
-            )
+            level = _typed(each.select(
+                F.col("value"), F.when(F.col("above") == "", step).otherwise(F.concat("above", F.lit("."), step)).alias("path"), (F.col("up") + 1 + dots).cast("int").alias("depth"),
+            )).where(F.col("depth") <= depth)
+            found = _read(level.where("kind != 'object'"), "path", "depth")
             out = found if out is None else out.unionByName(found)
             level = level.where("kind = 'object'").select("value", "path", "depth")
         out.schema  # noqa: B018
@@ -65,9 +72,8 @@ def elements(rows: DataFrame, path: str) -> DataFrame:
     """(json_type, atom) of the elements of the array at ``path``, of rows where it is one."""
     spark = rows.sparkSession
     with json_settings(spark):
-        arrays = rows.select(F.try_variant_get("v", "$." + path, "variant").alias("a")).where(F.startswith(F.schema_of_variant("a"), F.lit("ARRAY")))
-        each = arrays.lateralJoin(spark.tvf.variant_explode(F.col("a").outer())).withColumn("kind", json_type(F.schema_of_variant("value")))
-        logic = F.try_variant_get("value", "$", "boolean").cast("string")
-        out = each.select(F.when(F.col("kind") == "boolean", logic).otherwise(F.col("kind")).alias("json_type"), atom(F.col("value"), F.col("kind")).alias("atom"))
+        values = rows.select(F.try_variant_get("v", "$." + path, "variant").alias("a"))
+        each = values.lateralJoin(spark.tvf.variant_explode(F.col("a").outer())).where("key is null")
+        out = _read(_typed(each.select("value")))
         out.schema  # noqa: B018
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linelake.functions import hints
-from linelake.functions.json import atom_key, atom_text
+from linelake.functions.json import SHORT, atom_key, atom_text, once
 
 from .nodes import DEPTH, elements, nesting, nodes
 
@@ -18,26 +18,39 @@ FIELDS = 2000
 TYPES = ("integer", "real", "true", "false", "text", "null", "array")
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """One row for each path: counts by type, present, non_null, is_array, least and greatest value, text lengths. Sums only: mergeable."""
+def value_counts(found: DataFrame) -> DataFrame:
+    """A row for each path and value: (path, key, n, n_<type>, rank, num, big, length). Arrays and nulls are counted under the key null. Long texts are
+    counted by digest. All that is aggregated has a fixed size, so rows combine by hash before the shuffle; counts of parts of a log add up."""
     a = F.col("atom")
-    order = F.struct(a["rank"].alias("rank"), a["num"].alias("num"), a["big"].alias("big"), a["txt"].alias("txt"))
-    value = F.when(a.isNotNull(), F.struct(order.alias("order"), atom_text(a).alias("text")))
-    n = F.length(a["txt"])
-    return found.groupBy("path").agg(
-        *(F.count_if(F.col("json_type") == t).alias(f"n_{t}") for t in TYPES),
-        F.count(F.lit(1)).alias("present"), F.count_if(F.col("json_type") != "null").alias("non_null"),
-        F.max((F.col("json_type") == "array").cast("int")).alias("is_array"),
-        F.min(value)["text"].alias("min_v"), F.max(value)["text"].alias("max_v"),
-        F.min(n).cast("long").alias("len_min"), F.max(n).cast("long").alias("len_max"), F.round(F.avg(n), 2).alias("len_avg"),
+    rows = once(found, key=atom_key(a), rank=a["rank"], num=a["num"], big=a["big"], length=F.length(a["txt"])).select("path", "json_type", "key", "rank", "num", "big", "length")
+    return rows.groupBy("path", "key").agg(
+        F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("json_type") == t).alias(f"n_{t}") for t in TYPES),
+        F.min("rank").alias("rank"), F.min("num").alias("num"), F.min("big").alias("big"), F.min("length").alias("length"),
     )
 
 
-def value_counts(found: DataFrame) -> DataFrame:
-    """(path, key, n, value): how often each scalar value occurs. Long texts are counted by digest and have no value here."""
+def folded(counts: DataFrame) -> DataFrame:
+    """One row for each path of ``value_counts``: counts by type, present, non_null, is_array, distinct_n, text lengths."""
+    n, size = F.col("n"), F.col("length")
+    total = F.sum(F.when(size.isNotNull(), n))
+    return counts.groupBy("path").agg(
+        *(F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES), F.sum(n).alias("present"), F.sum(n - F.col("n_null")).alias("non_null"),
+        F.max((F.col("n_array") > 0).cast("int")).alias("is_array"), F.count("key").alias("distinct_n"),
+        F.min(size).cast("long").alias("len_min"), F.max(size).cast("long").alias("len_max"), F.round(F.sum(size * n) / total, 2).alias("len_avg"),
+    )
+
+
+def extremes(found: DataFrame) -> DataFrame:
+    """(path, min_v, max_v): each path's least and greatest value: numbers, then texts."""
     a = F.col("atom")
-    scalar = found.where(a.isNotNull()).select("path", atom_key(a).alias("key"), F.struct("atom.rank", "atom.num", "atom.big").alias("order"))
-    return scalar.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("order"))
+    order = F.struct(a["rank"].alias("rank"), a["num"].alias("num"), a["big"].alias("big"), a["txt"].alias("txt"))
+    value = F.struct(order.alias("order"), atom_text(a).alias("text"))
+    return found.where(a.isNotNull()).groupBy("path").agg(F.min(value)["text"].alias("min_v"), F.max(value)["text"].alias("max_v"))
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """``folded`` with ``extremes``, for each path."""
+    return folded(value_counts(found)).join(extremes(found), "path", "left")
 
 
 def _value(key: Column) -> Column:
@@ -45,22 +58,25 @@ def _value(key: Column) -> Column:
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("path").agg(F.count(F.lit(1)).alias("distinct_n"))
+    return counts.groupBy("path").agg(F.count("key").alias("distinct_n")).where("distinct_n > 0")
 
 
 def top_values(counts: DataFrame, found: DataFrame | None = None, top: int = TOP) -> DataFrame:
     """(path, rank, value, n) of each path's ``top`` most frequent values; ties in value order: numbers, then texts.
 
-    Long texts are looked up by their digests in ``found``, the nodes counted, once it is known which are wanted.
+    Long texts are looked up by their digests in ``found``, the nodes counted, once it is known that there are such among the most frequent.
     """
-    order = Window.partitionBy("path").orderBy(F.col("n").desc(), F.col("order.rank"), F.col("order.num"), F.col("order.big"), "key")
-    best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("value", _value(F.col("key")))
+    order = Window.partitionBy("path").orderBy(F.col("n").desc(), F.col("rank"), F.col("num"), F.col("big"), "key")
+    best = counts.where("key is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    best = best.select("path", F.col("place").alias("rank"), _value(F.col("key")).alias("value"), "n", "key")
     if found is not None:
+        best = best.persist()  # top rows of each path
         wanted = best.where("value is null").select("path", "key")
-        a = F.col("atom")
-        long = found.where(F.length(a["txt"]) > 128).select("path", atom_key(a).alias("key"), a["txt"].alias("long"))
-        texts = long.join(wanted, ["path", "key"], "left_semi").groupBy("path", "key").agg(F.min("long").alias("long"))
-        best = best.join(texts, ["path", "key"], "left").withColumn("value", F.coalesce("value", "long"))
+        if not wanted.isEmpty():
+            a = F.col("atom")
+            long = found.where(F.length(a["txt"]) > SHORT).select("path", atom_key(a).alias("key"), a["txt"].alias("long"))
+            texts = long.join(wanted, ["path", "key"], "left_semi").groupBy("path", "key").agg(F.min("long").alias("long"))
+            best = best.join(texts, ["path", "key"], "left").withColumn("value", F.coalesce("value", "long"))
     return best.select("path", "rank", "value", "n")
 
 
@@ -69,10 +85,12 @@ def element_stats(rows: DataFrame, path: str, top: int = TOP) -> DataFrame:
     found = elements(rows, path).withColumn("path", F.lit(path))
     name = F.lit(path).alias("path")
     n_arrays = rows.where(F.startswith(F.schema_of_variant(F.try_variant_get("v", "$." + path, "variant")), F.lit("ARRAY"))).groupBy(name).agg(F.count(F.lit(1)).alias("arrays"))
-    totals = found.groupBy("path").agg(F.count(F.lit(1)).alias("count"), F.count_distinct(atom_key(F.col("atom"))).alias("distinct"))
+    totals = value_counts(found).groupBy("path").agg(F.sum("n").alias("count"), F.count("key").alias("distinct"))
     best = element_top(rows, path, top).groupBy(name).agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
     average = F.when(F.col("arrays") > 0, F.round(F.col("count") / F.col("arrays"), 2)).otherwise(0.0)
-    return n_arrays.join(totals, "path", "left").join(best, "path", "left").select("path", "arrays", "count", "distinct", average.alias("avg_per_row"), "top")
+    return n_arrays.join(totals, "path", "left").join(best, "path", "left").select(
+        "path", "arrays", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("distinct", F.lit(0)).alias("distinct"), F.coalesce(average, F.lit(0.0)).alias("avg_per_row"), "top"
+    )
 
 
 def element_top(rows: DataFrame, path: str, top: int = TOP) -> DataFrame:
@@ -107,14 +125,14 @@ class Profile:
 def field_stats(rows: DataFrame, top: int = TOP, depth: int = DEPTH) -> DataFrame:
     """``summary`` with distinct_n, top_values, json_types and hints, for each path of ``rows`` (v)."""
     found = nodes(rows, depth)
-    counts = value_counts(found)
+    counts = value_counts(found).persist()
     best = top_values(counts, found, top)
     packed = best.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias("top_values"))
     types = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, TYPES)), F.array(*(F.col(f"n_{t}") for t in TYPES))), lambda _, n: n > 0)
-    out = summary(found).join(distinct_counts(counts), "path", "left").join(packed, "path", "left").join(field_hints(best), "path", "left")
+    out = folded(counts).join(extremes(found), "path", "left").join(packed, "path", "left").join(field_hints(best), "path", "left")
     none = F.array().cast("array<struct<value:string,count:bigint>>")
     return out.select(
-        "path", types.alias("json_types"), "present", "non_null", F.coalesce("distinct_n", F.lit(0)).alias("distinct_n"), "min_v", "max_v", "len_min", "len_max", "len_avg",
+        "path", types.alias("json_types"), "present", "non_null", "distinct_n", "min_v", "max_v", "len_min", "len_max", "len_avg",
         F.coalesce("top_values", none).alias("top_values"), "is_array",
         *(F.coalesce(c, F.lit(False)).alias(c) for c in ("url_like", "image_like", "natural_language_like")),
     )

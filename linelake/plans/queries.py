@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linelake.functions import hints
-from linelake.functions.json import strict
+from linelake.functions.json import once, strict
 from linelake.operators import index as ix
 from linelake.operators import legacy
 from linelake.operators import profile as pr
 from linelake.operators.nodes import nodes
 from linelake.session import json_settings
-from linelake.sources.lines import decoded, log_of, parsed
+from linelake.sources.lines import decoded, log_of, parsed, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str, name: str, *columns: str, **others) -> DataFrame:
-    return parsed(log_of(table(spark, sf_dir, name), *columns, **others))
+    return parsed(log_of(spread(table(spark, sf_dir, name)), *columns, **others))
 
 
 def props(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,13 +43,13 @@ def json_type_histogram_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def profile_orders_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.summary(nodes(log(spark, sf_dir, "orders"), 1)).select("path", "present", "non_null", "is_array")
+    return pr.folded(pr.value_counts(nodes(log(spark, sf_dir, "orders"), 1))).select("path", "present", "non_null", "is_array")
 
 
 @query
 def profile_lineitem_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nodes(log(spark, sf_dir, "lineitem"), 1)
-    return pr.summary(found).select("path", "present", "len_min", "len_max").join(pr.distinct_counts(pr.value_counts(found)), "path")
+    counts = pr.value_counts(nodes(log(spark, sf_dir, "lineitem"), 1))
+    return pr.folded(counts).select("path", "present", "len_min", "len_max", "distinct_n")
 
 
 @query
@@ -59,7 +59,7 @@ def profile_customer_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def profile_documents_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pr.summary(nodes(log(spark, sf_dir, "documents", "text", "lang", "source"), 1))
+    found = pr.folded(pr.value_counts(nodes(log(spark, sf_dir, "documents"), 1)))
     return found.select("path", "len_min", "len_max", "len_avg")
 
 
@@ -79,13 +79,13 @@ def profile_orders_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_mktsegment").alias("seg"), F.struct(F.col("c_nationkey").alias("key"), F.col("c_name").alias("full name")).alias("nation")).alias("cust"))
     found = nodes(parsed(log_of(c)), 3)
-    return pr.summary(found).select("path", "present", "non_null").join(pr.distinct_counts(pr.value_counts(found)), "path")
+    return pr.summary(found).select("path", "present", "non_null", "distinct_n")
 
 
 @query
 def profile_sparse_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("kind"), F.when(F.col("event_id") % 7 == 0, F.col("user_id")).alias("who"))
-    return pr.summary(nodes(parsed(log_of(e)), 1)).select("path", "present", "non_null", "n_null")
+    return pr.folded(pr.value_counts(nodes(parsed(log_of(e)), 1))).select("path", "present", "non_null", "n_null")
 
 
 @query
@@ -95,8 +95,8 @@ def profile_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = text.when(k % 4 == 2, F.lit('{"x":true}')).otherwise(F.lit('{"x":null}'))
     rows = parsed(table(spark, sf_dir, "orders").select(body.alias("body")))
     found = nodes(rows, 1)
-    s = pr.summary(found).select("path", "n_integer", "n_text", "n_true", "n_null", "present", "non_null", "min_v", "max_v")
-    return s.join(pr.distinct_counts(pr.value_counts(found)), "path")
+    s = pr.summary(found).select("path", "n_integer", "n_text", "n_true", "n_null", "present", "non_null", "min_v", "max_v", "distinct_n")
+    return s
 
 
 @query
@@ -278,8 +278,8 @@ def hint_boolean_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hint_facet_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nodes(log(spark, sf_dir, "documents"), 1)
-    s = pr.summary(found).join(pr.distinct_counts(pr.value_counts(found)), "path", "left")
-    return s.select("path", hints.facet_candidate(F.coalesce("distinct_n", F.lit(0)), F.col("len_max"), F.col("is_array") == 1).alias("facet_candidate"))
+    s = pr.folded(pr.value_counts(found))
+    return s.select("path", hints.facet_candidate(F.col("distinct_n"), F.col("len_max"), F.col("is_array") == 1).alias("facet_candidate"))
 
 
 @query
@@ -287,7 +287,7 @@ def hint_storage_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(
         "event_id", "event_type", F.when(F.col("event_id") % 2 == 0, F.lit("1")).otherwise(F.lit("1.5")).alias("mixed"), (F.col("event_id") % 2 == 0).alias("flag"), F.array("user_id").alias("list"))
     j = e.select(F.concat(F.regexp_replace(F.to_json(F.struct("event_id", "event_type", "flag", "list")), r"\}$", ',"mixed":'), F.col("mixed"), F.lit("}")).alias("body"))
-    s = pr.summary(nodes(parsed(j), 1))
+    s = pr.folded(pr.value_counts(nodes(parsed(j), 1)))
     types = F.filter(F.array(*(F.when(F.col(f"n_{t}") > 0, F.lit(t)) for t in pr.TYPES if t != "null")), lambda x: x.isNotNull())
     return s.select("path", hints.storage_strict(types).alias("strict"), hints.storage_model(types, F.col("len_max")).alias("model"))
 
@@ -302,8 +302,9 @@ def split_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def locale_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    hits = {name: F.sum(hints.stopword_hits(F.col("text"), name)).alias(name) for name in hints.STOPWORDS}
-    g = d.groupBy("lang").agg(*hits.values())
+    words = once(spread(d), words=hints.words(F.col("text")))
+    hits = {name: F.sum(hints.stopword_hits(F.col("words"), name)).alias(name) for name in hints.STOPWORDS}
+    g = words.groupBy("lang").agg(*hits.values())
     return g.select("lang", *hits, hints.locale_of({n: F.col(n) for n in hits}).alias("locale"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linelake.functions.json import strict, trimmed
+from linelake.functions.json import once, paired, trimmed, unpaired
 from linelake.session import json_settings
 
 BOM = b"\xef\xbb\xbf"
@@ -49,8 +49,9 @@ def numbered(lines: DataFrame, bom: dict[str, int] | None = None) -> DataFrame:
 def parsed(rows: DataFrame) -> DataFrame:
     """``rows`` (body, ...) with ``valid`` and ``v``, the VARIANT value of a valid body."""
     with json_settings(rows.sparkSession):
-        valid, value = strict(F.col("body"))
-        out = rows.withColumns({"valid": valid, "v": value})
+        pair = once(rows, _pair=paired(F.col("body")))
+        valid, value = unpaired(F.col("_pair"))
+        out = once(pair, valid=valid, v=value).drop("_pair")
         out.schema  # noqa: B018  the settings are read when the plan is analysed
     return out
 
@@ -67,6 +68,12 @@ def log_of(df: DataFrame, *columns: str, keep_nulls: bool = True, **others: Colu
     return df.select(body.alias("body"), *(c.alias(n) for n, c in others.items()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt out over all of them: parsing its rows costs far more than moving them. Larger ones stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def counts_by_file(lines: DataFrame) -> DataFrame:
     """(file, lines, rows, bytes): all lines, non-blank ones, and bytes with a line end each."""
     full = F.length(trimmed(F.col("line"))) > 0
