@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 from dataclasses import asdict
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
 from . import files
 from .lake import Lake
 from .operators import legacy
+from .sources.lines import counts_by_file, scan
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -52,13 +55,13 @@ def _profile(lake: Lake, a: argparse.Namespace) -> None:
 
 
 def _counts(spark: SparkSession, path: str, recursive: bool) -> list[tuple[str, int]]:
-    """Lines by file, most first; one file at a time is only listed, the counting is one job."""
+    """Line ends by file, most first, in one job. Empty files have none."""
     found = files.listing(spark, path, recursive)
     if not found:
         return []
-    counted = spark.read.option("lineSep", "\n").text([e.path for e in found]).groupBy("_metadata.file_path").count().collect()
-    by = {r[0].split("/")[-1]: r[1] for r in counted}
-    return sorted(((e.path, by.get(e.path.split("/")[-1], 0)) for e in found), key=lambda x: (-x[1], x[0]))
+    counts = {unquote(r["file"]): r["ends"] for r in counts_by_file(scan(spark, [e.path for e in found])).collect()}  # a row for each file listed
+    plain = {re.sub("^file:/+", "file:/", k): n for k, n in counts.items()}
+    return sorted(((e.path, plain.get(re.sub("^file:/+", "file:/", e.path), 0)) for e in found), key=lambda x: (-x[1], x[0]))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -94,10 +97,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "vacuum":
         print("dropped the kept rows" if lake.vacuum() else "nothing to drop")
     elif a.command == "clean":
-        for e in files.listing(spark, a.path, a.recursive, (".sidecar.json", ".sidecar.json.tmp")):
-            print(e.path)
+        old = [e.path for e in files.listing(spark, a.path, a.recursive, (".sidecar.json", ".sidecar.json.tmp"))]
+        for path in [*old, *([lake.state.side] if files.exists(spark, lake.state.side) else [])]:  # both can be built again from the data
+            print(path)
             if not a.dry_run:
-                files.delete(spark, e.path)
+                files.delete(spark, path)
     return 0
 
 

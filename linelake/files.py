@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -49,8 +51,10 @@ def write_json(spark: SparkSession, path: str, value: dict) -> None:
     out = fs.create(new, True)
     out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(new, p)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(new), fs.makeQualified(p), how)
 
 
 def read_bytes(spark: SparkSession, path: str, start: int, length: int) -> bytes:
@@ -80,6 +84,21 @@ def listing(spark: SparkSession, path: str, recursive: bool = False, suffixes: t
     return sorted(found, key=lambda e: e.path)
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: ``spark.checkpoint.dir``. Where it is unset, one of our own in local mode; on a cluster that is an error."""
+    base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if base:
+        return base
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='linelake-')}"
+    return _OWN[context.applicationId]
+
+
 def block_path(base: str, name: str, suffix: str = ".jsonl") -> str:
     """Where a named part of a dataset stands."""
     return f"{base.rstrip('/')}/{name}{suffix if suffix.startswith('.') else '.' + suffix}"

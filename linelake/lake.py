@@ -14,7 +14,7 @@ from . import files
 from .functions.json import checked_name
 from .operators import index as ix
 from .operators import profile as pr
-from .sources.lines import BOM, decoded, log_of, numbered, parsed, scan
+from .sources.lines import decoded, log_of, numbered, parsed, scan
 from .state import Meta, StateStore
 
 
@@ -50,10 +50,7 @@ class Lake:
         data = list(paths) if paths is not None else [e.path for e in self.state.data()]
         if not data:
             return parsed(self.spark.createDataFrame([], "file string, line_no long, offset long, body string"))
-        marked = {p: len(BOM) for p in data if not p.endswith(("gz", "gzip")) and files.read_bytes(self.spark, p, 0, 3) == BOM}
-        lines = scan(self.spark, data)
-        names = {self.spark.read.text(p).select("_metadata.file_path").first()[0]: n for p, n in marked.items()}
-        return parsed(numbered(lines, names))
+        return parsed(numbered(scan(self.spark, data)))
 
     def read(self, start_at: int = 1) -> DataFrame:
         """(line, v) of the rows that are objects or arrays; ``start_at`` only renumbers."""
@@ -62,7 +59,11 @@ class Lake:
         return decoded(self.rows()).select("file", (F.col("line_no") + (start_at - 1)).alias("line"), "v", "body")
 
     def first(self) -> Row | None:
-        return self.read().orderBy("file", "line").select("body").limit(1).first()
+        for entry in self.state.data():  # only as many files as it takes
+            found = decoded(self.rows([entry.path])).orderBy("line_no").select("body").limit(1).first()
+            if found:
+                return found
+        return None
 
     def contains_token(self, token: str) -> bool:
         path = f"{self.state.side}/tokens"
@@ -72,7 +73,7 @@ class Lake:
 
     @contextmanager
     def lock(self) -> Iterator[None]:
-        """One lock for all that changes a dataset; a second holder is refused."""
+        """One lock for all that changes a dataset; a second holder is refused. ``break_lock`` takes away the lock of a driver that has died."""
         fs_path = f"{self.state.side}/lock"
         p = self.spark._jvm.org.apache.hadoop.fs.Path(fs_path)
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -84,6 +85,9 @@ class Lake:
         finally:
             fs.delete(p, False)
 
+    def break_lock(self) -> bool:
+        return files.delete(self.spark, f"{self.state.side}/lock")
+
     def write(self, df: DataFrame, mode: str = "w", token: str | None = None, order: Sequence[str] = (), sparse: bool = False, options: WriterOptions = WriterOptions(), complete: bool = True, **context) -> Meta:
         """Append (``a``) or replace (``w``) the log by the rows of ``df``.
 
@@ -95,6 +99,8 @@ class Lake:
             raise ValueError(f"mode {mode!r} is neither 'w' nor 'a'")
         if self.path.endswith((".jsonl", ".gz", ".gzip")):
             raise ValueError("a dataset that is written is a folder")
+        if not options.ensure_dir and not files.exists(self.spark, self.path):
+            raise ValueError(f"{self.path} does not exist")
         if options.lock:
             with self.lock():
                 return self._write(df, mode, token, order, sparse, options, complete, context)
@@ -110,14 +116,15 @@ class Lake:
         if token:
             seen = self.spark.read.parquet(tokens) if mode == "a" and files.exists(self.spark, tokens) else None
             named = df.withColumn("token", F.col(token).cast("string"))
-            df = ix.first_by_token(named, [*order] or [token], seen).persist()
+            df = ix.first_by_token(named, order, seen).persist()
             new_tokens = df.where("token is not null").select("token")
         seen_rows = Observation()
         body = log_of(df, *columns, keep_nulls=not sparse)
         body = body.observe(seen_rows, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("body").cast("long") + 1), F.lit(0)).alias("bytes"))
-        for entry in self.state.data() if mode == "w" else ():
-            files.delete(self.spark, entry.path)
+        replaced = self.state.data() if mode == "w" else []
         body.write.mode("append").option("compression", options.compression).text(self.path)
+        for entry in replaced:  # only when the new rows are there
+            files.delete(self.spark, entry.path)
         if new_tokens is not None:
             new_tokens.write.mode("append" if mode == "a" else "overwrite").parquet(tokens)
             df.unpersist()
@@ -144,7 +151,8 @@ class Lake:
 
     def index(self, pk: Sequence[str] = ("id",), facets: Sequence[str] = ()) -> IndexResult:
         """Build or bring up to date the index: the last row of each key. New files are added to an index of unchanged ones; a changed file,
-        other keys or facets, or lost parts mean a new index. Rows are named by file and offset, so no row is added twice."""
+        other keys or facets, or lost parts mean a new index. Rows are named by file and offset, so no row is added twice. A row without a key is named
+        by its line, in a folder by file and line."""
         for name in (*pk, *facets):
             checked_name(name)
         meta, now = self.state.load(), self.state.fingerprint()
@@ -154,7 +162,7 @@ class Lake:
         paths = [e[0] for e in now if index is None or tuple(e) not in old]
         order = ["file", "line_no"]
         rows = self.rows(paths)
-        both = ix.keyed(rows, pk, facets, order)
+        both = ix.keyed(rows, pk, facets, order, several=self.state.is_folder)
         if index is not None:
             both = index.unionByName(both)
         seen = rows.agg(F.count_if("valid").alias("rows"), F.count_if(~F.col("valid")).alias("invalid")).first()

@@ -68,9 +68,13 @@ def browse(rows: DataFrame, fields: dict[str, str] | Sequence[str]) -> DataFrame
 
 
 def first_by_token(rows: DataFrame, order: Sequence[str], seen: DataFrame | None = None) -> DataFrame:
-    """The first row of each ``token``, in ``order``, of those not in ``seen`` (token). Rows without a token are all kept."""
+    """The first row of each ``token``, in ``order``, of those not in ``seen`` (token); without an order, the first as ``rows`` stand. Rows without a
+    token are all kept."""
+    columns = rows.columns
+    if not order:
+        rows, order = rows.withColumn("_at", F.monotonically_increasing_id()), ["_at"]
     named = rows.where("token is not null")
     if seen is not None:
         named = named.join(seen.select("token"), "token", "left_anti")
     first = named.groupBy("token").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "token")), F.struct(*order)).alias("x"))
-    return first.select("token", "x.*").select(*rows.columns).unionByName(rows.where("token is null"))
+    return first.select("token", "x.*").select(*columns).unionByName(rows.where("token is null").select(*columns))

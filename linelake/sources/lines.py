@@ -9,40 +9,45 @@ from pyspark.sql.window import Window
 from linelake.functions.json import once, paired, trimmed, unpaired
 from linelake.session import json_settings
 
-BOM = b"\xef\xbb\xbf"
+#: Bytes of the mark at a file's start that the text reader skips.
+BOM = 3
 
 
 def scan(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """(file, split, rid, line) of plain and gzipped files; a folder's ``*.jsonl`` and ``*.jsonl.gz``. rid grows along a file."""
+    """(file, size, block, rid, line) of plain and gzipped files; a folder's ``*.jsonl`` and ``*.jsonl.gz``. rid grows along a file."""
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
     return reader.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("rid"), F.col("value").alias("line"),
     )
 
 
-def numbered(lines: DataFrame, bom: dict[str, int] | None = None) -> DataFrame:
+def _missing(read: Column, size: Column, file: Column) -> Column:
+    """Bytes of a plain file that its lines, with an end each, leave out: 0; -1 if the last line has no end; BOM, or one less, if there was a mark."""
+    return F.when(F.regexp_like(file, F.lit(r"\.(gz|gzip)$")), 0).otherwise(size - read)
+
+
+def numbered(lines: DataFrame) -> DataFrame:
     """(file, line_no, offset, body): non-blank lines, trimmed, with their number among a file's non-blank lines and their byte offset.
 
     Two passes: totals of each file's splits give where a split begins; inside a split, numbers and offsets are running sums. So a large
-    file is numbered by as many tasks as it was read by. bom: bytes that the reader skipped at the start of a file.
+    file is numbered by as many tasks as it was read by. A byte order mark shows in the totals: the lines are shorter than the file.
     """
     full = F.length(trimmed(F.col("line"))) > 0
     sized = lines.withColumns({"full": full.cast("long"), "bytes": F.octet_length("line").cast("long") + 1})
     split = Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
     part = F.shiftright("rid", 33)
-    totals = sized.groupBy("file", "block", part.alias("part")).agg(F.sum("full").alias("n"), F.sum("bytes").alias("b"))
-    begins = totals.select("file", "block", "part", F.coalesce(F.sum("n").over(split), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(split), F.lit(0)).alias("b0"))
+    totals = sized.groupBy("file", "block", part.alias("part")).agg(F.sum("full").alias("n"), F.sum("bytes").alias("b"), F.max("size").alias("size"))
+    missing = _missing(F.sum("b").over(Window.partitionBy("file")), F.col("size"), F.col("file"))
+    marked = F.when(missing.isin(BOM, BOM - 1), BOM).otherwise(0)
+    begins = totals.select("file", "block", "part", F.coalesce(F.sum("n").over(split), F.lit(0)).alias("n0"), (F.coalesce(F.sum("b").over(split), F.lit(0)) + marked).alias("b0"))
     inside = Window.partitionBy("file", "block", "part").orderBy("rid")
     run = sized.withColumn("part", part).withColumns({
         "n": F.sum("full").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
         "b": F.coalesce(F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     })
-    skipped = F.lit(0)
-    for file, n in (bom or {}).items():
-        skipped = F.when(F.col("file") == file, n).otherwise(skipped)
     return run.where("full = 1").join(begins, ["file", "block", "part"]).select(
-        "file", (F.col("n0") + F.col("n")).alias("line_no"), (F.col("b0") + F.col("b") + skipped).alias("offset"), trimmed(F.col("line")).alias("body")
+        "file", (F.col("n0") + F.col("n")).alias("line_no"), (F.col("b0") + F.col("b")).alias("offset"), trimmed(F.col("line")).alias("body")
     )
 
 
@@ -75,8 +80,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def counts_by_file(lines: DataFrame) -> DataFrame:
-    """(file, lines, rows, bytes): all lines, non-blank ones, and bytes with a line end each."""
+    """(file, ends, rows, bytes) of ``scan``: line ends, non-blank lines, and bytes with a line end each. A plain file's last line without an end is no line end."""
     full = F.length(trimmed(F.col("line"))) > 0
-    return lines.groupBy("file").agg(
-        F.count(F.lit(1)).alias("lines"), F.count_if(full).alias("rows"), F.sum(F.octet_length("line").cast("long") + 1).alias("bytes")
+    sums = lines.groupBy("file").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(full).alias("rows"), F.sum(F.octet_length("line").cast("long") + 1).alias("bytes"), F.max("size").alias("size")
     )
+    open_end = _missing(F.col("bytes"), F.col("size"), F.col("file")).isin(-1, BOM - 1)
+    return sums.select("file", (F.col("lines") - open_end.cast("long")).alias("ends"), "rows", "bytes")

@@ -7,8 +7,10 @@ from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import files
+from .sources.lines import counts_by_file, scan
 
 SCHEMA_VERSION = 1
 
@@ -53,6 +55,10 @@ class StateStore:
         """Where all that is derived from the data stands; the data alone can rebuild it."""
         return f"{self.path}/_linelake" if not self.path.endswith((".jsonl", ".gz", ".gzip")) else f"{self.path}._linelake"
 
+    @property
+    def is_folder(self) -> bool:
+        return not self.path.endswith((".jsonl", ".gz", ".gzip"))
+
     @property
     def meta_path(self) -> str:
         return f"{self.side}/meta.json"
@@ -115,9 +121,7 @@ class StateStore:
         data = self.data()
         if not data:
             return 0
-        n = self.spark.read.option("lineSep", "\n").text([e.path for e in data]).count()
-        open_ended = sum(1 for e in data if e.size and not e.path.endswith(("gz", "gzip")) and files.read_bytes(self.spark, e.path, e.size - 1, 1) != b"\n")
-        return n - open_ended
+        return counts_by_file(scan(self.spark, [e.path for e in data])).agg(F.sum("ends")).first()[0] or 0
 
     def rows(self) -> int:
         return self.load().rows if self.exists() else self.count_lines()

@@ -41,7 +41,11 @@ def test_lines(spark, tmp_path):
         lake.read(0)
     got = lake.index(["id"], ["n"])
     assert (got.rows, got.keys, got.invalid, got.mode) == (5, 4, 1, "full")
-    assert json.loads(lake.get("1")) == {"id": 1, "n": "last"} and lake.get("#5") == "5" and lake.get("9") is None
+    assert json.loads(lake.get("1")) == {"id": 1, "n": "last"} and lake.get("#a.jsonl:5") == "5" and lake.get("9") is None
+    one = Lake(spark, f"file://{tmp_path}/a.jsonl")
+    assert one.index(["id"]).keys == 4 and one.get("#5") == "5"
+    (tmp_path / "b.jsonl").write_text("1\n2\n3\n4\n5\n")
+    assert lake.index(["id"], ["n"]).keys == 9 and lake.get("#b.jsonl:5") == "5"
 
 
 def test_splits_and_bom(spark, tmp_path):
@@ -203,6 +207,22 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["clean", path], spark) == 0 and not files.exists(spark, path + "/old.sidecar.json")
 
 
+def test_counts_by_whole_path(spark, tmp_path, capsys):
+    for name, text in (("a", "{}\n{}\n{}\n"), ("b", "{}\n\n{}"), ("c d", "{}\n" * 5)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.jsonl").write_text(text)
+    assert main(["count", f"file://{tmp_path}", "-r"], spark) == 0
+    assert [line.split(None, 1)[0] for line in capsys.readouterr().out.splitlines()] == ["5", "3", "2", "10"]
+
+
+def test_documents_are_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/x.json"
+    for n in range(3):
+        files.write_json(spark, path, {"n": n})
+        assert files.read_json(spark, path) == {"n": n}
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["x.json"]
+
+
 def test_tables_as_logs(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert sorted(r.body for r in log_of(df).collect()) == ['{"a":1,"b":null}', '{"a":2,"b":"x"}']
