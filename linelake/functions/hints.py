@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values
@@ -96,10 +96,14 @@ def locale_of(hits: dict[str, Column]) -> Column:
     return out
 
 
-def boolean_like(values: Column, words: tuple[str, ...] = BOOLEAN_WORDS, most: int = 6) -> Column:
-    """All of a field's distinct non-blank values are words for yes and no, and there are 1 to ``most``."""
-    full = F.filter(F.transform(values, lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    return (F.size(full) > 0) & (F.size(F.array_distinct(full)) <= most) & F.forall(full, lambda x: x.isin(*words))
+def boolean_likes(counts: DataFrame) -> DataFrame:
+    """(path, boolean_like, boolean_like_model) of value counts (path, key): all distinct non-blank values, in any case, are words for yes and no,
+    and there are 1 to 6, or 1 to 4 of the model's words. All values are looked at."""
+    word = F.lower(F.trim(F.substring("key", 3, 1 << 30)))
+    full = counts.where("key is not null").select("path", F.when(F.startswith("key", F.lit("h:")), F.col("key")).otherwise(word).alias("word")).where("word != ''")
+    n = F.count_distinct("word")
+    known = lambda words: F.every(F.col("word").isin(*words))
+    return full.groupBy("path").agg((known(BOOLEAN_WORDS) & (n <= 6)).alias("boolean_like"), (known(BOOLEAN_WORDS_MODEL) & (n <= 4)).alias("boolean_like_model"))
 
 
 def facet_candidate(distinct: Column, len_max: Column, is_container: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linelake.functions.hints import BOOLEAN_WORDS, BOOLEAN_WORDS_MODEL, STOPWORDS
+from linelake.functions.hints import BOOLEAN_WORDS, BOOLEAN_WORDS_MODEL, IMAGE_ENDINGS, STOPWORDS
 
 
 def _each(table: str, columns: str, item: str, source: str | None = None) -> str:
@@ -12,13 +12,12 @@ def _each(table: str, columns: str, item: str, source: str | None = None) -> str
 
 LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
 _URL = r"^https?://[A-Za-z0-9.\-_~%:@\[\]]+([/?#][\x21-\x7E]*)?$"
-_IMAGE = "('jpg', 'jpeg', 'png', 'gif', 'webp', 'avif', 'svg', 'bmp')"
 _ENDING = r"lower(regexp_extract(regexp_replace(regexp_replace({u}, '[?#].*$', ''), '^https?://[^/]*', ''), '\.([^./]*)$', 1))"
 _MADE = "CASE page_id % 3 WHEN 0 THEN '.JPG' WHEN 1 THEN '/x.webp?y=.txt' ELSE '/z.html' END"
 
 
 def _image(u: str) -> str:
-    return f"regexp_matches({u}, '{_URL}') AND {_ENDING.format(u=u)} IN {_IMAGE}"
+    return f"regexp_matches({u}, '{_URL}') AND {_ENDING.format(u=u)} IN {_words(IMAGE_ENDINGS)}"
 
 
 def _words(words: tuple[str, ...]) -> str:
@@ -86,7 +85,7 @@ SELECT user_id::VARCHAR AS pk, '{"event_id":' || max(event_id) || ',"user_id":'
     "token_dedup_first": "SELECT user_id::VARCHAR AS token, min(event_id) AS event_id, min_by(event_type, event_id) AS event_type FROM events WHERE user_id IS NOT NULL GROUP BY user_id",
     "token_anti_join_resume": """
 SELECT user_id::VARCHAR AS token, min(event_id) AS event_id, min_by(event_type, event_id) AS event_type FROM events
-WHERE event_id % 10 >= 5 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 10 < 5) GROUP BY user_id""",
+WHERE event_id % 20 != 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 20 = 0) GROUP BY user_id""",
     "directory_count_total": "SELECT coalesce(name, 'TOTAL') AS name, count(*) AS n_rows FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name FROM {t}" for t in ("customer", "orders", "part", "supplier")) + ") GROUP BY ROLLUP (name)",
     "valid_vs_invalid_lines": """
 WITH b AS (SELECT event_id % 8 AS kind, CASE event_id % 8 WHEN 0 THEN props || ' x' WHEN 1 THEN props || props WHEN 2 THEN '[1,2] ,' WHEN 3 THEN 'null' WHEN 4 THEN '{"a":01}' ELSE props END AS body FROM events)
@@ -109,8 +108,11 @@ SELECT lang, count(*) FILTER (length(trim(text, ' ')) - length(replace(trim(text
     "hint_facet_candidate": _each("documents", "doc_id n_chars", "'{c}' AS path, count(DISTINCT {c}) BETWEEN 1 AND 64 AS facet_candidate")
     + " UNION ALL " + _each("documents", "text lang source", "'{c}' AS path, count(DISTINCT {c}) BETWEEN 1 AND 64 AND max(length({c})) <= 128 AS facet_candidate"),
     "hint_storage_type": """
-SELECT * FROM (VALUES ('event_id', 'int', 'int'), ('event_type', 'string', 'string'), ('flag', 'bool', 'bool'), ('list', 'json', 'json'), ('mixed', 'string', 'float')) t(path, strict, model)
-WHERE EXISTS (SELECT 1 FROM events)""",
+WITH e AS (SELECT unnest([{'p': 'event_id', 't': 'integer', 'n': NULL}, {'p': 'event_type', 't': 'text', 'n': length(event_type)}, {'p': 'flag', 't': 'boolean', 'n': NULL}, {'p': 'list', 't': 'array', 'n': NULL},
+                         {'p': 'mixed', 't': CASE WHEN event_id % 2 = 0 THEN 'integer' ELSE 'real' END, 'n': NULL}]) AS x FROM events),
+k AS (SELECT x.p AS path, list(DISTINCT x.t ORDER BY x.t) AS t, max(x.n) AS longest FROM e GROUP BY 1)
+SELECT path, CASE WHEN list_contains(t, 'array') THEN 'json' WHEN t = ['boolean'] THEN 'bool' WHEN t = ['integer'] THEN 'int' WHEN t = ['real'] THEN 'float' ELSE 'string' END AS strict,
+       CASE WHEN list_contains(t, 'array') THEN 'json' WHEN list_contains(t, 'boolean') THEN 'bool' WHEN t = ['integer'] THEN 'int' WHEN list_has_all(['integer', 'real'], t) THEN 'float' WHEN longest > 255 THEN 'text' ELSE 'string' END AS model FROM k""",
     "split_candidate": """
 WITH s AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE array_to_string(string_split(p_name, ' '), '; ') END AS s FROM part),
 p AS (SELECT s, list_filter(list_transform(string_split(s, ';'), lambda x: trim(x)), lambda x: x != '') AS p FROM s),
@@ -128,7 +130,7 @@ SELECT count(*) FILTER (json_valid(s) AND s[1] IN ('{', '[')) AS hits, count(*)
 SELECT 'nation' AS name, count(*) AS n_rows, sum(strlen('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') + 1)::BIGINT AS n_bytes FROM nation
 UNION ALL SELECT 'region', count(*), sum(strlen('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}') + 1)::BIGINT FROM region
 UNION ALL SELECT 'labels', count(*), sum(strlen('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}') + 1)::BIGINT FROM labels""",
-    "legacy_text_stats": _each("orders", "o_orderkey o_custkey o_orderstatus o_orderdate o_orderpriority", "'{c}' AS path, count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct, CASE WHEN count(DISTINCT {c}) <= 100000 THEN count(DISTINCT {c}) = count(*) END AS unique"),
+    "legacy_text_stats": _each("orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "'{c}' AS path, count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct, CASE WHEN count(DISTINCT {c}) <= 100000 THEN count(DISTINCT {c}) = count(*) END AS unique"),
     "legacy_distribution": " UNION ALL ".join(
         f"SELECT '{c}' AS path, {c}::VARCHAR AS value, count(*) AS n FROM orders WHERE (SELECT count(DISTINCT {c}) FROM orders) <= 100 GROUP BY {c}" for c in ("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     ),
