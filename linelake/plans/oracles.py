@@ -40,7 +40,7 @@ SELECT key AS path, CASE WHEN type IN ('UBIGINT', 'BIGINT') THEN 'integer' WHEN
     + " UNION ALL SELECT 'l_shipdate', count(*), 23, 23, count(DISTINCT l_shipdate) FROM lineitem",
     "profile_customer_distinct": _each("customer", "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "'{c}' AS path, count(DISTINCT {c}) AS distinct_n"),
     "profile_documents_lengths": _each("documents", "text lang source", "'{c}' AS path, min(length({c}))::BIGINT AS len_min, max(length({c}))::BIGINT AS len_max, round(avg(length({c})), 2) AS len_avg")
-    + " UNION ALL " + _each("documents", "doc_id n_chars", "'{c}' AS path, NULL::BIGINT AS len_min, NULL::BIGINT AS len_max, NULL::DOUBLE AS len_avg"),
+    + " UNION ALL " + _each("documents", "doc_id n_chars", "DISTINCT '{c}' AS path, NULL::BIGINT AS len_min, NULL::BIGINT AS len_max, NULL::DOUBLE AS len_avg"),
     "profile_part_minmax": _each("part", "p_partkey p_name p_brand p_type p_size", "'{c}' AS path, min({c})::VARCHAR AS min_v, max({c})::VARCHAR AS max_v"),
     "profile_orders_topn": "SELECT path, rank, value, n FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS path, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank, {c}::VARCHAR AS value, count(*) AS n FROM orders GROUP BY {c}" for c in ("o_custkey", "o_orderstatus", "o_orderpriority")

@@ -12,13 +12,18 @@ from linelake import files
 from linelake.functions.json import trimmed
 from linelake.operators import index as ix
 from linelake.operators.nodes import nodes
-from linelake.operators.profile import value_counts
+from linelake.operators.profile import TYPES, value_counts
 from linelake.sources.lines import parsed
 
 
+#: Batches whose counts stand beside each other before they are added up.
+DELTAS = 16
+
+
 class IncrementalProfile:
     """Exact counts of a folder's values, kept at ``out``: (path, key, n) and (path, json_type, n). Each batch of new files is added once: the
-    batch's number is written with the counts, and a batch that is delivered again is left out."""
+    batch's number is written with the counts, and a batch that is delivered again is left out. A batch only writes its own counts;
+    every DELTAS batches what is there is added up."""
 
     def __init__(self, spark: SparkSession, path: str, out: str, depth: int = 6) -> None:
         self.spark, self.path, self.out, self.depth = spark, path, out.rstrip("/"), depth
@@ -31,27 +36,36 @@ class IncrementalProfile:
         )
 
     def _add(self, batch: DataFrame, epoch: int) -> None:
-        at = files.read_json(self.spark, f"{self.out}/current.json") or {"epoch": -1}
+        at = files.read_json(self.spark, f"{self.out}/current.json") or {"epoch": -1, "names": []}
         if epoch <= at["epoch"]:
             return
         rows = parsed(batch.select(trimmed(F.col("value")).alias("body")).where(F.length("body") > 0))
-        found = nodes(rows.where("valid"), self.depth).persist()
-        values, types = value_counts(found).select("path", "key", "n"), found.groupBy("path", "json_type").agg(F.count(F.lit(1)).alias("n"))
-        name = uuid.uuid4().hex
-        for part, new, keys in (("values", values, ["path", "key"]), ("types", types, ["path", "json_type"])):
-            if "name" in at:
-                new = self.spark.read.parquet(f"{self.out}/{at['name']}/{part}").unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))
-            new.write.parquet(f"{self.out}/{name}/{part}")
-        found.unpersist()
-        files.write_json(self.spark, f"{self.out}/current.json", {"epoch": epoch, "name": name})
-        if "name" in at:
-            files.delete(self.spark, f"{self.out}/{at['name']}")
+        counts = value_counts(nodes(rows.where("valid"), self.depth)).persist()
+        name, old = uuid.uuid4().hex, []
+        counts.where("key is not null").select("path", "key", "n").write.parquet(f"{self.out}/{name}/values")
+        each = F.explode(F.array(*(F.struct(F.lit(t).alias("json_type"), F.col(f"n_{t}").alias("n")) for t in TYPES)))
+        kinds = counts.select("path", each.alias("x")).where("x.n > 0").groupBy("path", "x.json_type").agg(F.sum("x.n").alias("n"))
+        kinds.write.parquet(f"{self.out}/{name}/types")
+        counts.unpersist()
+        names = [*at["names"], name]
+        if len(names) >= DELTAS:
+            whole, old = uuid.uuid4().hex, names
+            for part in ("values", "types"):
+                self._sum(names, part).write.parquet(f"{self.out}/{whole}/{part}")
+            names = [whole]
+        files.write_json(self.spark, f"{self.out}/current.json", {"epoch": epoch, "names": names})
+        for name in old:
+            files.delete(self.spark, f"{self.out}/{name}")
+
+    def _sum(self, names: list[str], part: str) -> DataFrame:
+        keys = ["path", "key"] if part == "values" else ["path", "json_type"]
+        return self.spark.read.parquet(*(f"{self.out}/{n}/{part}" for n in names)).groupBy(*keys).agg(F.sum("n").alias("n"))
 
     def counts(self, part: str = "values") -> DataFrame:
         at = files.read_json(self.spark, f"{self.out}/current.json")
         if at is None:
             raise ValueError(f"nothing was taken in from {self.path} yet")
-        return self.spark.read.parquet(f"{self.out}/{at['name']}/{part}")
+        return self._sum(at["names"], part)
 
 
 def first_tokens(stream: DataFrame, token: str, time: str, late: str) -> DataFrame:

@@ -15,6 +15,7 @@ from linelake.operators import profile as pr
 from linelake.operators.nodes import nesting, nodes
 from linelake.sources.lines import decoded, log_of, parsed
 from linelake.sources.tail import TailSource
+from linelake.streaming import incremental
 from linelake.streaming.incremental import IncrementalProfile
 
 LINES = '{"id":1,"n":"é"}\r\n\n  {"id":2}  \nnot json\n{"id":1,"n":"last"}\n5\n{"id":3}'
@@ -168,7 +169,7 @@ def test_tail(spark, tmp_path):
     assert [(r.offset, r.line) for r in got.collect()] == [(9, '{"id":2}')]
 
 
-def test_streaming_adds_up(spark, tmp_path):
+def test_streaming_adds_up(spark, tmp_path, monkeypatch):
     data = tmp_path / "in"
     data.mkdir()
     p = IncrementalProfile(spark, f"file://{data}", f"file://{tmp_path}/out", depth=1)
@@ -177,7 +178,12 @@ def test_streaming_adds_up(spark, tmp_path):
     (data / "2.jsonl").write_text('{"a":2,"b":"y"}\nbad\n')
     p.run().awaitTermination()
     p.run().awaitTermination()
-    whole = pr.value_counts(nodes(bodies(spark, '{"a":1,"b":"x"}', '{"a":2,"b":"x"}', '{"a":2,"b":"y"}'), 1))
+    monkeypatch.setattr(incremental, "DELTAS", 3)
+    (data / "3.jsonl").write_text('{"b":null}\n{"a":true}\n')
+    p.run().awaitTermination()
+    assert len(files.read_json(spark, f"file://{tmp_path}/out/current.json")["names"]) == 1
+    whole = pr.value_counts(nodes(bodies(spark, '{"a":1,"b":"x"}', '{"a":2,"b":"x"}', '{"a":2,"b":"y"}', '{"a":true}'), 1))
+    assert {(r.path, r.json_type, r.n) for r in p.counts("types").collect()} == {("a", "integer", 3), ("a", "true", 1), ("b", "text", 3), ("b", "null", 1)}
     key = lambda df: sorted((r.path, r.key, r.n) for r in df.collect())
     assert key(p.counts()) == key(whole)
 
