@@ -42,6 +42,11 @@ def _parser() -> argparse.ArgumentParser:
 def _profile(lake: Lake, a: argparse.Namespace) -> None:
     found = lake.profile(a.top)
     rows = [r.asDict(recursive=True) for r in found.fields.orderBy(found.fields.present.desc(), "path").collect()]  # at most 2000
+    if a.legacy_json:
+        for r in rows:
+            if r["is_array"]:
+                inside = lake.elements(r["path"]).first()
+                r["elements"] = inside.asDict() if inside else None
     doc = legacy.document(a.path, found.rows, rows)
     if a.legacy_json:
         files.write_json(lake.spark, a.path.removesuffix(".gz").removesuffix(".jsonl").rstrip("/") + ".profile.json", doc)

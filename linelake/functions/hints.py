@@ -33,6 +33,13 @@ def is_image_url(s: Column) -> Column:
     return is_url(s) & ending(s).isin(*IMAGE_ENDINGS)
 
 
+def is_image_name(s: Column) -> Column:
+    """Any text whose path ends as an image does: a url's path, or the text itself where it has none."""
+    path = F.regexp_replace(F.regexp_replace(s, r"(?s)[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", "")
+    end = F.regexp_extract(F.when(path == "", s).otherwise(path), r"\.([^./]*)$", 1)
+    return F.coalesce(F.lower(end).isin(*IMAGE_ENDINGS), F.lit(False))
+
+
 def is_sentence(s: Column) -> Column:
     """At least two spaces inside."""
     t = F.trim(s)

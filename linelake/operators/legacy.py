@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 
 from linelake.functions import hints
 from linelake.functions.json import atom_text, once
+from linelake.operators.nodes import held
 
 # fixed values
 TYPE_NAMES = {"integer": "int", "real": "float", "true": "bool", "false": "bool", "text": "string", "array": "array", "object": "object"}
+ELEMENT_TYPES = {"integer": "int", "real": "float", "true": "bool", "false": "bool", "text": "string", "array": "array", "object": "array", "null": "other"}
 DISTINCT_CAP, PUSHED_CAP = 100_000, 500
 SAMPLES = 256
 
@@ -36,6 +38,43 @@ def text_stats(found: DataFrame, pushed: bool = False) -> DataFrame:
     return out.withColumn("distinct_capped", F.col("distinct") > cap).withColumn("unique", F.when(~F.col("distinct_capped"), F.col("distinct") == F.col("total")))
 
 
+def array_stats(rows: DataFrame) -> DataFrame:
+    """(path, arrays, elements, elem_types, elem_len_min, elem_len_max, elem_len_avg, elem_distinct, elem_capped) of the top-level fields of ``rows`` (v)
+    that hold arrays or objects somewhere; an object counts as the array of its values.
+
+    Lengths are bytes of texts, null without texts. Scalars are equal if their texts are, as in ``text_stats``, and null and false are the empty text;
+    elem_distinct goes up to DISTINCT_CAP. Elements are counted by value first, so a frequent one costs a task no more than others.
+    """
+    found = held(rows)
+    kind, there = F.col("json_type"), F.col("pos").isNotNull()
+    text = F.when(kind.isin("null", "false"), "").otherwise(atom_text(F.col("atom")))
+    size = F.when(there & (kind == "text"), F.octet_length("atom.txt").cast("long"))
+    each = found.select(
+        "path", F.when(there, F.sha2(text, 256)).alias("key"), F.when(there, kind).alias("kind"), (F.coalesce("pos", F.lit(0)) == 0).alias("first"), there.alias("there"), size.alias("size"))
+    counted = each.groupBy("path", "key", "kind").agg(
+        F.count_if("first").alias("arrays"), F.count_if("there").alias("elements"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("bytes"), F.count("size").alias("texts"))
+    of_key = counted.groupBy("path", "key").agg(
+        *(F.sum(c).alias(c) for c in ("arrays", "elements", "bytes", "texts")), F.min("least").alias("least"), F.max("most").alias("most"), *(F.max(F.col("kind") == t).alias(f"is_{t}") for t in ELEMENT_TYPES))
+    names = F.array(*(F.when(F.max(f"is_{t}"), F.lit(n)) for t, n in ELEMENT_TYPES.items()))
+    return of_key.groupBy("path").agg(
+        F.sum("arrays").alias("arrays"), F.sum("elements").alias("elements"), F.array_distinct(F.array_compact(names)).alias("elem_types"), F.min("least").alias("elem_len_min"), F.max("most").alias("elem_len_max"),
+        F.try_divide(F.sum("bytes"), F.sum("texts")).alias("elem_len_avg"), F.least(F.count("key"), F.lit(DISTINCT_CAP)).alias("elem_distinct"), (F.count("key") > DISTINCT_CAP).alias("elem_capped"),
+    )
+
+
+def boolean_fields(found: DataFrame) -> DataFrame:
+    """(path, boolean_like) of nodes: only true and false besides null, or some texts among at most six values that are all blank or words for yes and no.
+    Paths with nothing but nulls have no row."""
+    text = F.when(F.col("json_type") == "false", "").otherwise(atom_text(F.col("atom")))
+    word = F.lower(F.trim("text"))
+    values = found.where("json_type != 'null'").select("path", "json_type", text.alias("text"))
+    known = F.coalesce((word == "") | word.isin(*hints.BOOLEAN_WORDS), F.lit(True))
+    by = values.groupBy("path", F.sha2("text", 256).alias("key")).agg(
+        F.bool_and(F.col("json_type").isin("true", "false")).alias("logic"), F.bool_or(F.col("json_type") == "text").alias("texts"), F.bool_and(known).alias("known"))
+    few = F.bool_or("texts") & (F.count("key") <= 6) & F.bool_and("known")
+    return by.groupBy("path").agg((F.bool_and("logic") | few).alias("boolean_like"))
+
+
 def distribution(counts: DataFrame, most: int = 100, longest: int = 64) -> DataFrame:
     """(path, value, n) of fields with at most ``most`` values, for values of at most ``longest`` characters."""
     few = counts.groupBy("path").agg(F.count("key").alias("d")).where(F.col("d") <= most).select("path")
@@ -85,8 +124,12 @@ def split_scores(values: DataFrame, preferred: str | None = None) -> DataFrame:
     )
 
 
-def split_candidates(values: DataFrame, preferred: str | None = None) -> DataFrame:
-    """The best delimiter of each path; of equals the first of the fixed list."""
+def split_candidates(values: DataFrame, preferred: str | None = None, disabled: Collection[str] = ()) -> DataFrame:
+    """The best delimiter of each path; of equals the first of the fixed list. Paths in ``disabled`` aren't looked at: theirs is a row that only says so."""
+    if disabled:
+        off = F.col("path").isin(*disabled)
+        none = values.where(off).select("path", F.lit(False).alias("enabled")).distinct()
+        return split_candidates(values.where(~off), preferred).unionByName(none, allowMissingColumns=True)
     order = F.array_position(F.array(*map(F.lit, hints.DELIMITERS)), F.col("delimiter"))
     scores = split_scores(values, preferred)
     rest = [c for c in scores.columns if c != "path"]
@@ -105,7 +148,7 @@ def overridden(stats: DataFrame, overrides: Mapping[str, Mapping[str, Any]]) ->
 
 
 def legacy_field(row: Mapping[str, Any]) -> dict[str, Any]:
-    """A row of field statistics under the older names."""
+    """A row of field statistics under the older names; elements: those of ``element_stats``, for an array."""
     kinds = list(dict.fromkeys(TYPE_NAMES[t] for t in row["json_types"] if t != "null"))
     top = [(v["value"], v["count"]) for v in row["top_values"]]
     values = [v for v, _ in top]
@@ -113,12 +156,14 @@ def legacy_field(row: Mapping[str, Any]) -> dict[str, Any]:
     boolean = bool(words) and len(words) <= 4 and words <= set(hints.BOOLEAN_WORDS_MODEL) if values else kinds == ["bool"]
     container = bool({"array", "object"} & set(kinds))
     storage = "json" if container else {"bool": "bool", "int": "int", "float": "float"}.get(kinds[0], "string") if len(kinds) == 1 else "string"
+    inside = row.get("elements") if row["is_array"] else None
+    arrays = {"arrayStats": {"elements": inside["count"], "elemDistinct": inside["distinct"], "avgPerRow": inside["avg_per_row"]}} if inside else {}
     return {
         "total": row["present"], "nulls": max(0, row["present"] - row["non_null"]), "types": kinds, "distinct": row["distinct_n"], "distinctCapReached": False,
         "min": row["min_v"], "max": row["max_v"], "stringLengths": {"min": row["len_min"], "max": row["len_max"], "avg": row["len_avg"]}, "topValues": dict(top),
         "distinctValues": sorted(map(str, values)) if row["distinct_n"] <= len(values) else None, "isArray": bool(row["is_array"]), "urlLike": row["url_like"], "imageLike": row["image_like"],
         "naturalLanguageLike": row["natural_language_like"], "jsonLike": False, "booleanLike": boolean,
-        "facetCandidate": 1 <= row["distinct_n"] <= 64 and (row["len_max"] or 0) <= 128 and not container, "storageHint": storage,
+        "facetCandidate": 1 <= row["distinct_n"] <= 64 and (row["len_max"] or 0) <= 128 and not container, "storageHint": storage, **arrays,
     }
 
 

@@ -77,3 +77,16 @@ def elements(rows: DataFrame, path: str) -> DataFrame:
         out = _read(_typed(each.select("value")))
         out.schema  # noqa: B018
     return out
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """(path, pos, json_type, atom) of what the top-level arrays and objects of ``rows`` (v) hold; an empty one gives one row without pos."""
+    spark = rows.sparkSession
+    with json_settings(spark):
+        fields = rows.select(F.col("v").alias("row")).lateralJoin(spark.tvf.variant_explode(F.col("row").outer())).where("key is not null")
+        typed = once(fields.select(path_step(F.col("key")).alias("path"), F.col("value").alias("field")), within=json_type(F.schema_of_variant("field")))
+        holding = typed.where("within in ('array', 'object')").select("path", "field")
+        each = holding.lateralJoin(spark.tvf.variant_explode_outer(F.col("field").outer()))
+        out = _read(_typed(each.select("path", "pos", "value")), "path", "pos")
+        out.schema  # noqa: B018
+    return out

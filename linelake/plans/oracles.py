@@ -131,6 +131,25 @@ SELECT 'nation' AS name, count(*) AS n_rows, sum(strlen('{"n_nationkey":' || n_n
 UNION ALL SELECT 'region', count(*), sum(strlen('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}') + 1)::BIGINT FROM region
 UNION ALL SELECT 'labels', count(*), sum(strlen('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}') + 1)::BIGINT FROM labels""",
     "legacy_text_stats": _each("orders", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "'{c}' AS path, count(*) AS total, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct, CASE WHEN count(DISTINCT {c}) <= 100000 THEN count(DISTINCT {c}) = count(*) END AS unique"),
+    "legacy_array_stats": """
+WITH e AS (
+  SELECT 'tags' AS path, p_partkey AS id, 'string' AS kind, unnest(string_split(p_name, ' ')) AS t FROM part
+  UNION ALL SELECT 'facts', p_partkey, 'int', p_size::VARCHAR FROM part
+  UNION ALL SELECT 'facts', p_partkey, 'string', p_brand FROM part
+  UNION ALL SELECT 'facts', p_partkey, 'float', CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR ELSE p_retailprice::VARCHAR END FROM part
+  UNION ALL SELECT 'embedding', vec_id, 'float', unnest(embedding)::VARCHAR FROM embeddings)
+SELECT path, count(DISTINCT id) AS arrays, count(*) AS elements, array_to_string(list_sort(list(DISTINCT kind), 'ASC'), '|').replace('float|int|string', 'int|float|string') AS elem_types,
+       min(strlen(t)) FILTER (kind = 'string')::BIGINT AS elem_len_min, max(strlen(t)) FILTER (kind = 'string')::BIGINT AS elem_len_max, round(avg(strlen(t)) FILTER (kind = 'string'), 4) AS elem_len_avg,
+       least(count(DISTINCT t), 100000) AS elem_distinct, count(DISTINCT t) > 100000 AS elem_capped FROM e GROUP BY path""",
+    "legacy_boolean_like": f"""
+WITH v AS (
+  SELECT 'word' AS path, CASE doc_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN ' no ' ELSE '' END AS t, true AS texts FROM documents
+  UNION ALL SELECT 'lang', lang, true FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'number', (doc_id % 3)::VARCHAR, false FROM documents)
+SELECT path, bool_or(texts) AND count(DISTINCT t) <= 6 AND bool_and(trim(t) = '' OR lower(trim(t)) IN {_words(BOOLEAN_WORDS)}) AS boolean_like FROM v GROUP BY path
+UNION ALL SELECT 'flag', bool_and(doc_id % 3 = 0 OR doc_id % 3 != 0) FROM documents""",
+    "legacy_image_like": f"""
+WITH s AS (SELECT CASE page_id % 3 WHEN 0 THEN 'pic ' || page_id || '.PNG' WHEN 1 THEN url || '/a.b/c.jpg' ELSE url END AS s FROM pages)
+SELECT count(*) FILTER ({_ENDING.format(u='s')} IN {_words(IMAGE_ENDINGS)}) AS hits, count(*) AS checked, count(*) FILTER ({_ENDING.format(u='s')} IN {_words(IMAGE_ENDINGS)}) >= 0.5 * count(*) AS image_like FROM s""",
     "legacy_distribution": " UNION ALL ".join(
         f"SELECT '{c}' AS path, {c}::VARCHAR AS value, count(*) AS n FROM orders WHERE (SELECT count(DISTINCT {c}) FROM orders) <= 100 GROUP BY {c}" for c in ("o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
     ),

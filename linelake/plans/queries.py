@@ -327,6 +327,29 @@ def legacy_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.text_stats(nodes(log(spark, sf_dir, "orders"), 1)).select("path", "total", "nulls", "distinct", "unique")
 
 
+@query
+def legacy_array_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of words, objects and lists of numbers."""
+    p = table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("tags"), F.struct("p_size", "p_brand", "p_retailprice").alias("facts"))
+    both = parsed(log_of(p)).select("v").unionByName(log(spark, sf_dir, "embeddings", "embedding").select("v"))
+    return legacy.array_stats(both).withColumns({"elem_types": F.array_join("elem_types", "|"), "elem_len_avg": F.round("elem_len_avg", 4)})
+
+
+@query
+def legacy_boolean_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.col("doc_id") % 3
+    d = table(spark, sf_dir, "documents").select((third == 0).alias("flag"), F.when(third == 0, "Yes").when(third == 1, " no ").otherwise("").alias("word"), third.alias("number"), "lang")
+    return legacy.boolean_fields(nodes(parsed(log_of(d)), 1))
+
+
+@query
+def legacy_image_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.col("page_id") % 3
+    s = F.when(third == 0, F.concat(F.lit("pic "), F.col("page_id"), F.lit(".PNG"))).when(third == 1, F.concat("url", F.lit("/a.b/c.jpg"))).otherwise(F.col("url"))
+    p = table(spark, sf_dir, "pages").agg(F.count_if(hints.is_image_name(s)).alias("hits"), F.count(F.lit(1)).alias("checked"))
+    return p.select("hits", "checked", hints.ratio_like(F.col("hits"), F.col("checked"), 0.5, 3).alias("image_like"))
+
+
 @query
 def legacy_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.distribution(pr.value_counts(nodes(log(spark, sf_dir, "orders"), 1)))

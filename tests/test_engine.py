@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linelake import files
 from linelake.cli import main
+from linelake.functions import hints
 from linelake.lake import Lake
 from linelake.operators import index as ix
 from linelake.operators import legacy
@@ -202,6 +203,31 @@ def test_legacy(spark):
     assert doc["fields"]["v"]["nulls"] == 1 and doc["fields"]["w"]["storageHint"] == "string" and legacy.short("x" * 50) == "x" * 39 + "…"
 
 
+def test_legacy_arrays(spark):
+    rows = bodies(spark, '{"a":[1,"1",true,1.0,null,"",false,"käse",[2],{"x":1}],"s":"x"}', '{"a":[],"o":{"k":2.5}}', '{"a":null,"o":{}}', '{"a":"text"}', "[]")
+    got = {r.path: r for r in legacy.array_stats(rows).collect()}
+    a, o = got["a"], got["o"]
+    assert set(got) == {"a", "o"}
+    assert (a.arrays, a.elements, a.elem_distinct, a.elem_capped) == (2, 10, 3, False)  # 1, the empty text, käse
+    assert (a.elem_len_min, a.elem_len_max, a.elem_len_avg) == (0, 5, 2.0) and a.elem_types == ["int", "float", "bool", "string", "array", "other"]
+    assert (o.arrays, o.elements, o.elem_types, o.elem_len_avg, o.elem_distinct) == (2, 1, ["float"], None, 1)
+    assert not legacy.array_stats(bodies(spark)).collect()
+    doc = legacy.legacy_field({"json_types": {"array": 1}, "top_values": [], "present": 1, "non_null": 1, "distinct_n": 0, "min_v": None, "max_v": None, "len_min": None, "len_max": None, "len_avg": None,
+                               "is_array": 1, "url_like": False, "image_like": False, "natural_language_like": False, "elements": {"count": 3, "distinct": 2, "avg_per_row": 1.5}})
+    assert doc["arrayStats"] == {"elements": 3, "elemDistinct": 2, "avgPerRow": 1.5}
+
+
+def test_older_hints(spark):
+    rows = bodies(spark, *('{"logic":%s,"word":"%s","number":%s,"mixed":%s}' % x for x in (("true", "Yes", "1", "true"), ("null", " no ", "0", '"Y"'), ("false", "", "1", '"maybe"'))))
+    assert {r.path: r.boolean_like for r in legacy.boolean_fields(nodes(rows, 1)).collect()} == {"logic": True, "word": True, "number": False, "mixed": False}
+    names = ["a b.PNG", "https://x.org/a.jpg?y=1", "https://x.org/a.html", "photo.gif#top", "https://x.jpg", "jpg", "", None, "a.png/b"]
+    found = spark.createDataFrame([(n,) for n in names], "s string").select(hints.is_image_name(F.col("s")).alias("x")).collect()
+    assert [r.x for r in found] == [True, True, False, True, True, False, False, False, False]
+    values = spark.createDataFrame([(p, "a; b; c") for p in "pq"], "path string, s string")
+    split = {r.path: (r.enabled, r.delimiter) for r in legacy.split_candidates(values, disabled=["q"]).collect()}
+    assert split == {"p": (True, ";"), "q": (False, None)}
+
+
 def test_commands(spark, tmp_path, capsys):
     path = folder(tmp_path, a='{"id":1,"k":"x"}\n{"id":2,"k":"y"}\n', b="{}\n")
     for args in (["count", path], ["index", path, "--facet", "k"], ["profile", path], ["info", path], ["state", path, "--ensure", "-j"], ["vacuum", path], ["clean", path, "--dry-run"]):
