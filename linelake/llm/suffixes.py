@@ -255,7 +255,7 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     Texts are UTF-8 bytes and may be cut anywhere; null is empty. Rows with one id don't take from each other. Null ids come after all
     others and don't take from each other either. Documents under 50 bytes stay whole. Further columns aren't looked at.
 
-    Each string has a representative, the least hash among its parts of 20 bytes; strings whose representative is in one document only are
+    Each string has a representative, the least hash among its parts of 32 bytes; strings whose representative is in one document only are
     left out (by a map of fixed size, which lets through too many rather than too few). Those left get names, are dealt out by their
     representative, or by name if the representative is in 255 documents or more, sorted by name, and compared with their neighbours. Of
     equal names in one batch of rows only those of the smallest document are dealt out, the other places are spread over all buckets; so
