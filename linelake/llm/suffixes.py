@@ -2,7 +2,7 @@
 
 The order of suffixes matters here only as far as their first 50 bytes, and of these only which are equal. So a triple of bytes, of names,
 and of names of names gets a 64-bit name at once, instead of its rank after a sort; only the names of the whole 50 bytes are dealt out,
-sorted and compared with their neighbours. Suffixes that can't have a partner are left out before.
+sorted and compared with their neighbours. With each goes a check of 32 bits, hashed from other values: two strings are equal if both are. Suffixes that can't have a partner are left out before.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ ROUNDS, GROUP = 4, 500_000
 #: Bits of the map of representatives that occur in several documents: 32 MB at any input size.
 MAP_BITS = 28
 _PIECE = 1 << 20
-_BYTES = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTES, _OTHER = np.random.default_rng(50).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _UNKNOWN = (1 << 63) - 1
 
@@ -44,9 +44,9 @@ def _triple(h: np.ndarray, step: int) -> np.ndarray:
     return _mix((h[:n] * _K + h[step : step + n]) * _K + h[2 * step : 2 * step + n])
 
 
-def _thrice(data: np.ndarray) -> np.ndarray:
+def _thrice(data: np.ndarray, letters: np.ndarray = _BYTES) -> np.ndarray:
     """A name for the 27 bytes from each place: triples of triples of triples."""
-    return _triple(_triple(_triple(_BYTES[data], 1), 3), 9)
+    return _triple(_triple(_triple(letters[data], 1), 3), 9)
 
 
 def _longer(h: np.ndarray, size: int) -> np.ndarray:
@@ -84,14 +84,14 @@ def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 def _strings(some: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a group: names of 27 bytes over all of it; the piece of each string that doesn't cross pieces, and its place in the group."""
+    """Of a group: its bytes; the piece of each string that doesn't cross pieces, and its place in the group."""
     sizes = np.array([len(b) for _, _, b in some])
     data = np.frombuffer(b"".join(b for _, _, b in some), np.uint8)
     n = sizes - LENGTH + 1
     piece = np.repeat(np.arange(len(some)), n)
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    return _thrice(data), piece, place
+    return data, piece, place
 
 
 def _encoded(texts: list[str | None]) -> list[bytes]:
@@ -102,8 +102,8 @@ def part_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     """For each text the distinct least hashes of its strings."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
     for some in pieces(_encoded(texts)):
-        thrice, piece, place = _strings(some)
-        least = _least(thrice)[place]
+        data, piece, place = _strings(some)
+        least = _least(_thrice(data))[place]
         change = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])))
         least, piece = least[change], piece[change]
         for p, cut in enumerate(np.split(least, np.searchsorted(piece, np.arange(1, len(some))))):
@@ -120,8 +120,8 @@ def _fragments(maps):
         for rows in batches:
             ids, keys = rows["doc_id"].to_numpy(), rows["key"].to_numpy()
             for some in pieces(_encoded(rows["text"].tolist())):
-                thrice, piece, place = _strings(some)
-                kept = np.flatnonzero(contains(twice, _least(thrice)[place], MAP_BITS))
+                data, piece, place = _strings(some)
+                kept = np.flatnonzero(contains(twice, _least(_thrice(data))[place], MAP_BITS))
                 if not len(kept):
                     continue
                 begin = np.flatnonzero(np.append(True, (np.diff(kept) != 1) | (np.diff(piece[kept]) != 0)))
@@ -145,10 +145,17 @@ def _runs(order: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
 
 
 _RUN = np.dtype([("doc", np.uint32), ("at", np.uint32), ("n", np.uint32)])
-PACKED = "bucket int, names binary, runs binary, known binary, ids binary, keys binary"
+PACKED = "bucket int, names binary, checks binary, runs binary, known binary, ids binary, keys binary"
 
 
-def _packed(turn: int, buckets: int, often):
+def _ordered(name: np.ndarray, check: np.ndarray, *ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by name and check, ties by ``ids``, else as they come, and where in it each new string begins."""
+    order = np.lexsort((*ids, check, name))
+    n, c = name[order], check[order]
+    return order, np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (c[1:] != c[:-1]))) if len(order) else np.zeros(0, np.int64)
+
+
+def _packed(turn: int, buckets: int, often, name_bits: int = 64):
     """For each batch and bucket: names with the runs of places they belong to, of each name only those in the batch's smallest document.
     The others are not the first for sure: their runs are ``known``, and go along with any bucket, here one chosen by batch.
 
@@ -165,23 +172,24 @@ def _packed(turn: int, buckets: int, often):
             ids, keys = ids[fresh].astype(np.int64), keys[fresh].astype(np.int64)
             parts: list[tuple[np.ndarray, ...]] = []
             for lo in range(0, len(data), 2_000):
-                thrice, piece, place = _strings([(i, 0, b) for i, b in enumerate(data[lo : lo + 2_000])])
+                letters, piece, place = _strings([(i, 0, b) for i, b in enumerate(data[lo : lo + 2_000])])
+                thrice = _thrice(letters)
                 least = _least(thrice)[place]
                 share = (least * _K >> np.uint64(20)) % np.uint64(ROUNDS * buckets)
                 mine = np.flatnonzero(share // np.uint64(buckets) == turn)
                 piece, place = piece[mine], place[mine]
-                name = _names(thrice)[place]
+                name = _names(thrice)[place] >> np.uint64(64 - name_bits)
+                check = (_names(_thrice(letters, _OTHER))[place] >> np.uint64(32)).astype(np.uint32)
                 split = contains(frequent, least[mine], MAP_BITS) > 0
                 bucket = np.where(split, (name * _K >> np.uint64(20)) % np.uint64(buckets), share[mine] % np.uint64(buckets))
                 size = np.array([len(b) for b in data[lo : lo + 2_000]])
                 at = starts[lo : lo + 2_000][piece] + place - (np.cumsum(size) - size)[piece]
-                parts.append((name, number[lo : lo + 2_000][piece].astype(np.uint32), at.astype(np.uint32), bucket.astype(np.int32)))
+                parts.append((name, check, number[lo : lo + 2_000][piece].astype(np.uint32), at.astype(np.uint32), bucket.astype(np.int32)))
             if not parts:
                 continue
-            name, doc, at, bucket = (np.concatenate(x) for x in zip(*parts))
+            name, check, doc, at, bucket = (np.concatenate(x) for x in zip(*parts))
             del parts
-            order = np.argsort(name, kind="stable")  # places are in order of documents
-            first = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1])) if len(order) else np.zeros(0, np.int64)
+            order, first = _ordered(name, check)  # places are in order of documents
             least = np.repeat(ids[doc[order[first]]], np.diff(np.append(first, len(order))))
             later = np.empty(len(name), bool)
             later[order] = ids[doc[order]] > least
@@ -200,20 +208,21 @@ def _packed(turn: int, buckets: int, often):
                     run = np.zeros(len(n), _RUN)
                     run["doc"], run["at"], run["n"] = np.searchsorted(here, doc[begin]), at[begin], n
                     blobs.append(run.tobytes())
-                out.append((b, name[sent].tobytes(), *blobs, ids[here].tobytes(), keys[here].tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "names", "runs", "known", "ids", "keys"]).astype({"bucket": "int32"})
+                out.append((b, name[sent].tobytes(), check[sent].tobytes(), *blobs, ids[here].tobytes(), keys[here].tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "names", "checks", "runs", "known", "ids", "keys"]).astype({"bucket": "int32"})
 
     return of
 
 
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
     """One bucket: sort the names; all places of a name in documents after its first one. Runs of starts, as (doc_id, key, at, n)."""
-    names, doc, at, ids, keys, base = [], [], [], [], [], 0
+    names, checks, doc, at, ids, keys, base = [], [], [], [], [], [], 0
     known = []
     for r in rows.itertuples():
         runs, old = np.frombuffer(r.runs, _RUN), np.frombuffer(r.known, _RUN)
         n = runs["n"].astype(np.int64)
         names.append(np.frombuffer(r.names, np.uint64))
+        checks.append(np.frombuffer(r.checks, np.uint32))
         doc.append(np.repeat(runs["doc"].astype(np.int64) + base, n))
         at.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(runs["at"].astype(np.int64), n))
         own = np.frombuffer(r.ids, np.int64)
@@ -221,9 +230,8 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
         ids.append(own)
         keys.append(np.frombuffer(r.keys, np.int64))
         base += len(own)
-    name, doc, at, ids, keys = (np.concatenate(x) for x in (names, doc, at, ids, keys))
-    order = np.lexsort((ids[doc], name))
-    first = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    name, check, doc, at, ids, keys = (np.concatenate(x) for x in (names, checks, doc, at, ids, keys))
+    order, first = _ordered(name, check, ids[doc])
     least = np.repeat(ids[doc[order[first]]], np.diff(np.append(first, len(order))))
     begin, n = _runs(np.sort(order[ids[doc[order]] > least]), doc, at)
     old_doc, old_at, old_n = (np.concatenate(x) for x in zip(*known))
@@ -248,12 +256,13 @@ def _cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
 
-def remove_substrings(docs: DataFrame) -> DataFrame:
+def remove_substrings(docs: DataFrame, name_bits: int = 64) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (binary), with the bytes removed that a string of
     50 bytes covers which also starts in a document with a smaller doc_id. Strings are judged on the input.
 
     Texts are UTF-8 bytes and may be cut anywhere; null is empty. Rows with one id don't take from each other. Null ids come after all
-    others and don't take from each other either. Documents under 50 bytes stay whole. Further columns aren't looked at.
+    others and don't take from each other either. Documents under 50 bytes stay whole. Further columns aren't looked at. Strings are told
+    apart by 96 bits; name_bits: of the 64 that they are dealt out by.
 
     Each string has a representative, the least hash among its parts of 32 bytes; strings whose representative is in one document only are
     left out (by a map of fixed size, which lets through too many rather than too few). Those left get names, are dealt out by their
@@ -270,7 +279,7 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-total // (ROUNDS * GROUP)))
     runs = None
     for turn in range(ROUNDS):
-        packed = fragments.mapInPandas(_packed(turn, buckets, often), PACKED)
+        packed = fragments.mapInPandas(_packed(turn, buckets, often, name_bits), PACKED)
         found = staged(packed.groupBy("bucket").applyInPandas(_compared, "doc_id long, key long, at long, n long"), "runs", 4_000)
         runs = found if runs is None else runs.unionByName(found)
         spark.sparkContext._jvm.System.gc()  # Spark deletes a round's shuffle files when its driver has forgotten the round

@@ -511,15 +511,16 @@ def test_mixing(spark):
 # suffixes
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffixes(spark, seed):
+@pytest.mark.parametrize(("seed", "name_bits"), [(1, 64), (2, 64), (1, 6)])
+def test_suffixes(spark, seed, name_bits):
+    """Also with names so short that most of them are those of several strings."""
     rng = random.Random(seed)
     alphabet = "ab" if seed == 2 else "abcdefg é\n"
     text = lambda n: "".join(rng.choices(alphabet, k=n))
     shared = [text(n) for n in (49, 50, 51, 80, 300)]
     rows = [(i, text(rng.randint(0, 200)) + rng.choice(shared) + text(rng.randint(0, 120)) + rng.choice(shared)) for i in rng.sample(range(1000), 30)]
     rows += [(2000, rows[0][1]), (2001, None), (2002, ""), (2003, "x" * 400), (2004, "x" * 60), (None, rows[1][1]), (None, rows[1][1]), (rows[2][0], rows[3][1])]
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_substrings(frame(spark, rows)).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_substrings(frame(spark, rows), name_bits).collect()), key=repr)
     least = {}
     data = [(1 << 63 if i is None else i, i, (t or "").encode()) for i, t in rows]
     for order, _, b in data:
