@@ -2,7 +2,9 @@
 
 The order of suffixes matters here only as far as their first 50 bytes, and of these only which are equal. So a triple of bytes, of names,
 and of names of names gets a 64-bit name at once, instead of its rank after a sort; only the names of the whole 50 bytes are dealt out,
-sorted and compared with their neighbours. With each goes a check of 32 bits, hashed from other values: two strings are equal if both are. Suffixes that can't have a partner are left out before.
+sorted and compared with their neighbours. With each goes a check of 32 bits: two strings count as equal if both are. Name and check
+are two mixtures of the names of a string's two parts of 27 bytes, which overlap. So unlike strings pass for equal if all 96 bits agree by
+chance, or if they share one part and two unlike parts share a 64-bit name. Suffixes that can't have a partner are left out before.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ ROUNDS, GROUP = 4, 500_000
 #: Bits of the map of representatives that occur in several documents: 32 MB at any input size.
 MAP_BITS = 28
 _PIECE = 1 << 20
-_BYTES, _OTHER = np.random.default_rng(50).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-_K = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
+_K, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _UNKNOWN = (1 << 63) - 1
 
 
@@ -44,9 +46,9 @@ def _triple(h: np.ndarray, step: int) -> np.ndarray:
     return _mix((h[:n] * _K + h[step : step + n]) * _K + h[2 * step : 2 * step + n])
 
 
-def _thrice(data: np.ndarray, letters: np.ndarray = _BYTES) -> np.ndarray:
+def _thrice(data: np.ndarray) -> np.ndarray:
     """A name for the 27 bytes from each place: triples of triples of triples."""
-    return _triple(_triple(_triple(letters[data], 1), 3), 9)
+    return _triple(_triple(_triple(_BYTES[data], 1), 3), 9)
 
 
 def _longer(h: np.ndarray, size: int) -> np.ndarray:
@@ -55,8 +57,10 @@ def _longer(h: np.ndarray, size: int) -> np.ndarray:
     return _mix(h[:n] * _K + h[size - 27 : size - 27 + n])
 
 
-def _names(h: np.ndarray) -> np.ndarray:
-    return _longer(h, LENGTH)
+def _names(h: np.ndarray, place: np.ndarray, name_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Names and checks of the 50 bytes from some places."""
+    a, b = h[place], h[place + LENGTH - 27]
+    return _mix(a * _K + b) >> np.uint64(64 - name_bits), (_mix(a * _OTHER + b) >> np.uint64(32)).astype(np.uint32)
 
 
 def _least(h: np.ndarray) -> np.ndarray:
@@ -172,14 +176,13 @@ def _packed(turn: int, buckets: int, often, name_bits: int = 64):
             ids, keys = ids[fresh].astype(np.int64), keys[fresh].astype(np.int64)
             parts: list[tuple[np.ndarray, ...]] = []
             for lo in range(0, len(data), 2_000):
-                letters, piece, place = _strings([(i, 0, b) for i, b in enumerate(data[lo : lo + 2_000])])
-                thrice = _thrice(letters)
+                joined, piece, place = _strings([(i, 0, b) for i, b in enumerate(data[lo : lo + 2_000])])
+                thrice = _thrice(joined)
                 least = _least(thrice)[place]
                 share = (least * _K >> np.uint64(20)) % np.uint64(ROUNDS * buckets)
                 mine = np.flatnonzero(share // np.uint64(buckets) == turn)
                 piece, place = piece[mine], place[mine]
-                name = _names(thrice)[place] >> np.uint64(64 - name_bits)
-                check = (_names(_thrice(letters, _OTHER))[place] >> np.uint64(32)).astype(np.uint32)
+                name, check = _names(thrice, place, name_bits)
                 split = contains(frequent, least[mine], MAP_BITS) > 0
                 bucket = np.where(split, (name * _K >> np.uint64(20)) % np.uint64(buckets), share[mine] % np.uint64(buckets))
                 size = np.array([len(b) for b in data[lo : lo + 2_000]])
