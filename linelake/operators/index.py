@@ -54,7 +54,8 @@ def facet_counts(index: DataFrame, *facets: str) -> DataFrame:
 
 def fetch(index: DataFrame, rows: DataFrame, condition: Column, on: Sequence[str] = ("line_no",)) -> DataFrame:
     """(pk, and ``rows``) of the keys whose attributes or pk satisfy ``condition``."""
-    return rows.join(index.where(condition).select("pk", *on), list(on))
+    # sorted on both sides: dropping the parsed value makes Spark take a log for a small table, and any number of keys may satisfy the condition
+    return rows.hint("merge").join(index.where(condition).select("pk", *on), list(on))
 
 
 def browse(rows: DataFrame, fields: dict[str, str] | Sequence[str]) -> DataFrame:

@@ -112,6 +112,19 @@ def test_keys_and_facets(spark):
         ix.keyed(rows, ["a'b"])
 
 
+def joins_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [name for name in ("BroadcastHashJoin", "SortMergeJoin") if name in plan]
+
+
+def test_fetch_by_facet_broadcasts_no_log(spark):
+    rows = bodies(spark, '{"id":1,"f":"x"}', '{"id":2,"f":"y"}', '{"id":1,"f":"y"}', "no", '{"id":3,"f":"x"}')
+    index = ix.last_of_each(ix.keyed(rows, ["id"], ["f"]))
+    got = ix.fetch(index, rows, F.col("attrs")["f"] == "y").select("pk", "line_no", "body")
+    assert sorted(got.collect()) == [("1", 3, '{"id":1,"f":"y"}'), ("2", 2, '{"id":2,"f":"y"}')]
+    assert joins_of(got) == ["SortMergeJoin"]
+
+
 def test_write_and_tokens(spark, tmp_path):
     lake = Lake(spark, f"file://{tmp_path}/out")
     df = spark.createDataFrame([("1", "alpha", 1), ("2", "beta", 2), ("2", "other", 3)], "id string, name string, at int")
