@@ -125,6 +125,13 @@ def test_fetch_by_facet_broadcasts_no_log(spark):
     assert joins_of(got) == ["SortMergeJoin"]
 
 
+def test_lookup_broadcasts_no_log(spark):
+    rows = bodies(spark, '{"id":7}', '{"id":8}', '{"id":7,"n":1}', '{"id":42}')
+    got = ix.fetch(ix.last_of_each(ix.keyed(rows, ["id"])), rows, F.col("pk").isin("7", "42")).select("pk", "body")
+    assert sorted(got.collect()) == [("42", '{"id":42}'), ("7", '{"id":7,"n":1}')]
+    assert joins_of(got) == ["SortMergeJoin"]
+
+
 def test_write_and_tokens(spark, tmp_path):
     lake = Lake(spark, f"file://{tmp_path}/out")
     df = spark.createDataFrame([("1", "alpha", 1), ("2", "beta", 2), ("2", "other", 3)], "id string, name string, at int")
