@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, table, text_key
+from .common import forget_shuffles, staged, table, text_key
 from .sketch import contains, frequency_maps
 
 LENGTH = 50
@@ -277,6 +277,7 @@ def remove_substrings(docs: DataFrame, name_bits: int = 64) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_UNKNOWN)).alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
     maps, often = (spark.sparkContext.broadcast(m) for m in frequency_maps(rows, part_sets, map_bits=MAP_BITS))
+    forget_shuffles(spark)
     fragments = staged(rows.mapInPandas(_fragments(maps), "doc_id long, key long, at long, data binary"), "fragments")
     total = fragments.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = max(1, -(-total // (ROUNDS * GROUP)))
@@ -285,7 +286,7 @@ def remove_substrings(docs: DataFrame, name_bits: int = 64) -> DataFrame:
         packed = fragments.mapInPandas(_packed(turn, buckets, often, name_bits), PACKED)
         found = staged(packed.groupBy("bucket").applyInPandas(_compared, "doc_id long, key long, at long, n long"), "runs", 4_000)
         runs = found if runs is None else runs.unionByName(found)
-        spark.sparkContext._jvm.System.gc()  # Spark deletes a round's shuffle files when its driver has forgotten the round
+        forget_shuffles(spark)
     each = runs.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set(F.struct("at", "n")).alias("runs"))  # of repeated rows once
     joined = rows.join(each, (F.col("doc_id") == F.col("d")) & (F.col("key") == F.col("k")), "left")
     cut = joined.select("doc_id", "text", _cut(F.when(F.col("runs").isNotNull(), F.col("text")), F.col("runs")).alias("x"))

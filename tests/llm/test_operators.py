@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linelake.llm import chat, decontaminate, language, mixing, ngram_join, quality, substrings, suffixes, topk, url_rules
+from linelake.llm import chat, common, decontaminate, language, mixing, ngram_join, quality, substrings, suffixes, topk, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, key string, n long, x int"
 
@@ -579,6 +579,17 @@ def test_suffixes_frequent_part(spark, monkeypatch):
     assert total == 400 * 31 and max(n.max() for n in names) < total / 6
 
 
+def test_suffixes_forget_shuffles(spark, monkeypatch):
+    """From the second round on, none begins with the shuffle files of the counts or of another round."""
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    seen, write = [], suffixes.staged
+    monkeypatch.setattr(suffixes, "staged", lambda df, label, *a: (seen.append(kept()), write(df, label, *a))[1])
+    common.forget_shuffles(spark)
+    before = kept()
+    assert suffixes.remove_substrings(frame(spark, [(i, "the same text of more than fifty bytes in each of them") for i in range(20)])).count() == 20
+    assert len(seen) == 1 + suffixes.ROUNDS and max(seen[2:]) <= before
+
+
 def test_suffixes_long_text(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_PIECE", 500)
     rng = random.Random(3)
