@@ -17,6 +17,7 @@ from .common import bound_batches, release_memory, staged, table, text_key
 #: A span has so many sentences and words at least: a notice or a line that many documents share is shorter, a passage longer.
 SENTENCES = 2
 WORDS = 20
+PLACE = ["doc_id", "key", "at", "n"]
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 
 
@@ -46,15 +47,22 @@ def spans(parts: list[str], least: int = SENTENCES, words: int = WORDS) -> Itera
 
 
 def _spans(least: int, words: int):
+    """The spans of some rows at a time: one row for equal ones, with the place of the first, and the places of the others in ``more``."""
+
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), 250):
                 some = rows.iloc[at : at + 250]
-                found = [
-                    ((h >> 32) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31), d, k, i, m)
-                    for d, k, t in zip(some["doc_id"], some["key"], some["text"]) for h, i, m in spans(sentences(t), least, words)
-                ]
-                yield pd.DataFrame(found, columns=["h", "check", "doc_id", "key", "at", "n"]).astype({"doc_id": some["doc_id"].dtype})
+                places: dict[int, list[tuple[int, int, int, int]]] = {}
+                for d, k, t in zip(some["doc_id"].tolist(), some["key"].tolist(), some["text"]):
+                    for h, i, m in spans(sentences(t), least, words):
+                        places.setdefault(h, []).append((d, k, i, m))
+                found = []
+                for h, own in places.items():
+                    own = sorted(set(own)) if len(own) > 1 else own
+                    more = [dict(zip(PLACE, x)) for x in own[1:]] or None
+                    found.append(((h >> 32) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31), *own[0], more))
+                yield pd.DataFrame(found, columns=["h", "check", *PLACE, "more"]).astype({"doc_id": some["doc_id"].dtype})
         release_memory()
 
     return of
@@ -88,17 +96,24 @@ def remove_repeats(docs: DataFrame, least: int = SENTENCES, words: int = WORDS)
     """
     bound_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").where(F.length("text") > 0)
-    schema = "h long, check int, doc_id long, key long, at int, n int"
+    schema = "h long, check int, doc_id long, key long, at int, n int, more array<struct<doc_id: long, key: long, at: int, n: int>>"
     known = keyed.where("doc_id is not null").mapInPandas(_spans(least, words), schema)
     unknown = keyed.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "key", "text").mapInPandas(_spans(least, words), schema)
     found = staged(known.unionByName(unknown.withColumn("doc_id", F.lit(None).cast("long"))), "spans")
-    place = F.struct(F.col("doc_id").isNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("key").alias("c"), F.col("at").alias("d"))
+    null = F.col("doc_id").isNull()
+    place_of = lambda x: F.struct(null.alias("a"), F.when(null, F.lit(0)).otherwise(x("doc_id")).alias("b"), x("key").alias("c"), x("at").alias("d"))
+    place, farthest = place_of(F.col), F.try_element_at("more", F.lit(-1))
+    last = F.coalesce(F.when(farthest.isNotNull(), place_of(lambda name: farthest[name])), place)
     # written, so that both sides of the join are plain exchanges, which Spark can split where one span is very frequent
     repeated = staged(
-        found.groupBy("h", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h", "check", "first"), "repeated"
+        found.groupBy("h", "check").agg(F.min(place).alias("first"), F.max(last).alias("last")).where("first != last").select("h", "check", "first"), "repeated"
     )
+    # joined as they are, some rows' equal spans in one row, so a span of many documents gives far fewer rows; taken apart after
+    every = F.concat(F.array(F.struct(*PLACE)), F.coalesce("more", F.array()))
+    each = found.join(repeated, ["h", "check"]).where(last > F.col("first")).select("first", null.alias("null"), F.explode(every).alias("x")).select("first", "null", "x.*")
+    each = each.select("first", F.when(~F.col("null"), F.col("doc_id")).alias("doc_id"), "key", "at", "n")
     runs = (
-        found.join(repeated, ["h", "check"]).where(place > F.col("first"))
+        each.where(place > F.col("first"))
         .groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     )
     columns = docs.columns

@@ -107,6 +107,15 @@ def test_substrings(spark):
     assert [r.text for r in same] == [shared, shared]
 
 
+def test_substrings_combine_equal_spans():
+    """Equal spans of some rows are one row, with all their places."""
+    text = "One two three four five six seven eight nine ten. Eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty."
+    rows = substrings.pd.DataFrame({"doc_id": range(200), "key": 5, "text": text})
+    found = substrings.pd.concat(substrings._spans(2, 20)(iter([rows, rows[:1]])))
+    assert found["doc_id"].tolist() == [0, 0] and found["more"].iloc[1] is None
+    assert [x["doc_id"] for x in found["more"].iloc[0]] == list(range(1, 200))
+
+
 def brute_all_runs(rows, least=2, words=20):
     """The sentences that stay, by every run of at least ``least`` sentences and ``words`` words."""
     first, placed = {}, []
