@@ -46,6 +46,22 @@ def spans(parts: list[str], least: int = SENTENCES, words: int = WORDS) -> Itera
         yield xxhash.xxh3_128_intdigest("\n".join(norm[i:e]).encode("utf-8", "replace")) >> 32, i, e - i
 
 
+def _placed(found: Iterator[tuple[int, int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """The places (first sentence, number of sentences) of each of a text's spans: the first as it is, the later ones joined where they touch.
+
+    Later ones go in any case if the span is repeated, so only the sentences that they cover together count. A line that fills a text is two
+    places then, however often it stands there.
+    """
+    places: dict[int, list[tuple[int, int]]] = {}
+    for h, i, m in found:
+        own = places.setdefault(h, [])
+        if len(own) > 1 and i <= sum(own[-1]):
+            own[-1] = (own[-1][0], i + m - own[-1][0])
+        else:
+            own.append((i, m))
+    return places
+
+
 def _spans(least: int, words: int):
     """The spans of some rows at a time: one row for equal ones, with the place of the first, and the places of the others in ``more``."""
 
@@ -55,8 +71,8 @@ def _spans(least: int, words: int):
                 some = rows.iloc[at : at + 250]
                 places: dict[int, list[tuple[int, int, int, int]]] = {}
                 for d, k, t in zip(some["doc_id"].tolist(), some["key"].tolist(), some["text"]):
-                    for h, i, m in spans(sentences(t), least, words):
-                        places.setdefault(h, []).append((d, k, i, m))
+                    for h, own in _placed(spans(sentences(t), least, words)).items():
+                        places.setdefault(h, []).extend((d, k, i, m) for i, m in own)
                 found = []
                 for h, own in places.items():
                     own = sorted(set(own)) if len(own) > 1 else own

@@ -116,6 +116,22 @@ def test_substrings_combine_equal_spans():
     assert [x["doc_id"] for x in found["more"].iloc[0]] == list(range(1, 200))
 
 
+def test_substrings_join_places_in_a_text(spark):
+    """A line that fills a text is two places of one span, at any length; what is removed is the same."""
+    line, other = "One two three four five six seven eight nine ten eleven.\n", "Twelve thirteen fourteen. Fifteen sixteen. Seventeen eighteen.\n"
+    texts = [other + line * 300, line * 200 + other * 2 + line * 50 + "End. " + line, line * 3, line * 2, (line + other) * 40, "Begin. " + (other + line) * 7]
+    rows = list(enumerate([*texts, *reversed(texts)])) + [(3, texts[3]), (None, texts[0])]
+    some = substrings.pd.DataFrame({"doc_id": [0, 1], "key": [5, 6], "text": [line * 300, line * 200 + other + line * 2]})
+    found = substrings.pd.concat(substrings._spans(2, 20)(iter([some])))
+    frequent = found[found["more"].notna()].iloc[0]
+    assert (frequent["doc_id"], frequent["at"], frequent["n"]) == (0, 0, 2)
+    assert [tuple(x.values()) for x in frequent["more"]] == [(0, 5, 1, 299), (1, 6, 0, 2), (1, 6, 1, 199), (1, 6, 203, 2)]
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in substrings.remove_repeats(frame(spark, rows)).collect()), key=repr)
+    unique = dict.fromkeys(rows)  # rows of equal id and text end alike
+    want = {(i, t): x for (i, t), x in zip(unique, brute_repeats(list(unique)))}
+    assert got == sorted((want[row] for row in rows), key=repr)
+
+
 def brute_all_runs(rows, least=2, words=20):
     """The sentences that stay, by every run of at least ``least`` sentences and ``words`` words."""
     first, placed = {}, []
