@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linelake.llm import chat, common, decontaminate, language, mixing, ngram_join, quality, substrings, suffixes, topk, url_rules
+from linelake.llm import chat, common, decontaminate, language, mixing, ngram_join, quality, sketch, substrings, suffixes, topk, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, key string, n long, x int"
 
@@ -615,6 +615,43 @@ def test_suffixes_forget_shuffles(spark, monkeypatch):
     assert len(seen) == 1 + suffixes.ROUNDS and max(seen[2:]) <= before
 
 
+def test_suffixes_rows_of_batches(spark):
+    """Small batches send a row to each bucket together, not each of them; a frequent part's names are spread over the rounds, too."""
+    rng = random.Random(9)
+    rows = [(i, i * 7919, 0, "".join(rng.choices("abcdefgh", k=80)).encode()) for i in range(600)]
+    batches = [suffixes.pd.DataFrame(rows[k : k + 10], columns=["doc_id", "key", "at", "data"]) for k in range(0, 600, 10)]
+    for bitmap, least in ((bytearray(1 << 21), 1), (bytearray(b"\xff" * (1 << 21)), 1500)):
+        often = spark.sparkContext.broadcast(bitmap)
+        found = [suffixes.pd.concat(suffixes._packed(turn, 8, often)(iter(batches))) for turn in range(suffixes.ROUNDS)]
+        names = [x["names"].map(len).sum() // 8 for x in found]
+        assert all(len(x) <= 8 for x in found) and sum(names) == 600 * 31 and min(names) >= least
+
+
+def test_suffixes_whole_copies(spark, monkeypatch):
+    """Texts that have a smaller id go, and none of their strings is dealt out; short ones and those of the same id stay."""
+    rng = random.Random(4)
+    long, other = ("".join(rng.choices("abcdefgh", k=n)) for n in (200, 90))
+    seen, write = {}, suffixes.staged
+    monkeypatch.setattr(suffixes, "staged", lambda df, label, *a: seen.setdefault(label, write(df, label, *a)) if label == "fragments" else write(df, label, *a))
+    rows = [*((i, long) for i in range(3, 40)), (3, long), (None, long), (5, other), (5, other), (1, "short"), (2, "short"), (41, None), (42, "")]
+    got = sorted(((r.doc_id or 99, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in suffixes.remove_substrings(frame(spark, rows)).collect()))
+    assert got == sorted((i or 99, len(t or ""), *((200, 1, "") if t == long and i != 3 else (0, 0, t or ""))) for i, t in rows)
+    assert seen["fragments"].where("doc_id != 3 and doc_id != 5").count() == 0
+
+
+def test_suffixes_map_grows():
+    """In a large map the three places of a hash are three choices: a fifth of its bits set lets through about a hundredth of the others."""
+    rng = np.random.default_rng(1)
+    bits = 28
+    h = rng.integers(0, 1 << 58, 300_000, dtype=np.uint64)  # the first 64th of the map
+    part = np.zeros(1 << (bits - 6), np.uint8)
+    for i in sketch._bits(h, bits):
+        part[i] = 1
+    bitmap = np.packbits(part)
+    assert sketch.contains(bitmap, h, bits).all()
+    assert sketch.contains(bitmap, rng.integers(0, 1 << 58, 100_000, dtype=np.uint64), bits).mean() < 0.012
+
+
 def test_suffixes_long_text(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_PIECE", 500)
     rng = random.Random(3)
