@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, release_memory
+from .common import batches_of, release_memory, staged
 
 #: Bits of each map: 16 MB at any input size.
 MAP_BITS = 27
+#: Larger maps come to the driver file by file, so that it doesn't hold them several times.
+AT_ONCE_BITS = 28
 Sets = Callable[[list], Iterable[np.ndarray]]
 
 
@@ -103,11 +105,13 @@ def frequency_maps(
     bits = min(max(int(size / share).bit_length(), 6), 20)
     parts = docs.select("text").mapInPandas(_count(bits, sets, gathered), "bucket long, low binary, n binary")
     grouped = parts.groupBy("bucket").applyInPandas(_maps(bits, map_bits, frequent, often_bits), "bucket long, twice binary, often binary")
-    with batches_of(docs.sparkSession, 2_000):
-        found = grouped.collect()
+    if map_bits <= AT_ONCE_BITS:
+        with batches_of(docs.sparkSession, 2_000):
+            found = iter(grouped.collect())
+    else:
+        found = staged(grouped, "maps", 2_000).toLocalIterator()
     whole = bytearray(1 << (map_bits - 3)), bytearray(1 << (often_bits - 3))
-    while found:  # each row goes once it is copied
-        bucket, *both = found.pop()
+    for bucket, *both in found:
         for target, part in zip(whole, both):
             target[bucket * len(part) : (bucket + 1) * len(part)] = part
     return whole

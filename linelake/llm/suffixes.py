@@ -31,7 +31,7 @@ ROUNDS, GROUP = 2, 1_000_000
 MAP_BITS, MOST_BITS, OFTEN_BITS = 28, 30, 24
 #: What is dealt out by bucket is gathered from so many bytes first, and what is found by so many bytes of text: the rows that a batch sends to
 #: each bucket grow with the square of the input, and so are kept few.
-_GATHERED, _PART = 1 << 21, 32 << 20
+_GATHERED, _PART = 1 << 21, 8 << 20
 #: Bytes hashed at a time, so that the arrays stay in the processor's cache.
 _PIECE = 1 << 18
 _BYTES = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -349,6 +349,7 @@ def remove_substrings(docs: DataFrame, name_bits: int = 64) -> DataFrame:
     forget_shuffles(spark)
     fragments = staged(own.mapInPandas(_fragments(maps), "doc_id long, key long, at long, data binary"), "fragments")
     maps.destroy()
+    del maps
     total = fragments.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     rounds = max(ROUNDS, -(-6 * total // max(size, 1)))
     buckets, parts = max(1, -(-total // (rounds * GROUP))), max(1, size // _PART)

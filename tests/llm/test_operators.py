@@ -652,6 +652,16 @@ def test_suffixes_map_grows():
     assert sketch.contains(bitmap, rng.integers(0, 1 << 58, 100_000, dtype=np.uint64), bits).mean() < 0.012
 
 
+def test_frequency_maps_in_parts(spark, monkeypatch):
+    """A large map that comes in parts is the one that comes at once, whatever is gathered before it is counted."""
+    rng = random.Random(2)
+    docs = frame(spark, [(i, "".join(rng.choices("abcdefgh", k=100)) + "a line that stands in all of these texts") for i in range(100)])
+    want = sketch.frequency_maps(docs, suffixes.part_sets, map_bits=24, often_bits=23)
+    monkeypatch.setattr(sketch, "AT_ONCE_BITS", 0)
+    assert sketch.frequency_maps(docs, suffixes.part_sets, map_bits=24, often_bits=23, share=1 << 8, gathered=500) == want
+    assert [len(m) for m in want] == [1 << 21, 1 << 20] and all(any(m) for m in want)
+
+
 def test_suffixes_long_text(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_PIECE", 500)
     rng = random.Random(3)
